@@ -1,11 +1,30 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators.
+
+Exact duplicate rows of a table give equal results, so duplicates are removed from the narrow results instead
+of from the wide inputs: the exchange then carries keys and positions, not texts.
+"""
 
 from __future__ import annotations
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, pieces, sentences
+from pagewright.llm.body import body_blocks
 from pagewright.plans.session import table
 
 
+def p2_found(spark, d):
+    return sentences.split_sentences(body_blocks(table(spark, d, "blocks"))).dropDuplicates()
+
+
+def p3_found(spark, d):
+    blocks, limits = body_blocks(table(spark, d, "blocks")), table(spark, d, "size_limits")
+    return pieces.split_oversized(blocks, limits, pieces=False).dropDuplicates()
+
+
+def p3_pieces(spark, d):
+    blocks, limits = body_blocks(table(spark, d, "blocks")), table(spark, d, "size_limits")
+    return pieces.split_oversized(blocks, limits).dropDuplicates()
+
+
 def p7_ids(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -14,6 +33,6 @@ def p7_offsets(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), what="offsets")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_offsets": p7_offsets}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p7_offsets": p7_offsets}
 
 SQL: dict[str, str] = {}
