@@ -6,7 +6,7 @@ of from the wide inputs: the exchange then carries keys and positions, not texts
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, normalise, pieces, sentences
+from pagewright.llm import bpe, languages, normalise, pieces, sentences
 from pagewright.llm.body import body_blocks
 from pagewright.plans.session import table
 
@@ -25,6 +25,15 @@ def p3_pieces(spark, d):
     return pieces.split_oversized(blocks, limits).dropDuplicates()
 
 
+def p4_found(spark, d):
+    segments = languages.language_segments(body_blocks(table(spark, d, "blocks")))
+    return languages.wrong_labels(segments).dropDuplicates()
+
+
+def p4_segments(spark, d):
+    return languages.language_segments(body_blocks(table(spark, d, "blocks"))).dropDuplicates()
+
+
 def p5_found(spark, d):
     return normalise.look_alikes(normalise.text_refs(table(spark, d, "blocks"), table(spark, d, "bundles"), "digital"))
 
@@ -42,6 +51,6 @@ def p7_offsets(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), what="offsets")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p5_normalised, p7_ids, p7_offsets)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p7_ids, p7_offsets)}
 
 SQL: dict[str, str] = {}
