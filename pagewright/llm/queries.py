@@ -6,7 +6,7 @@ of from the wide inputs: the exchange then carries keys and positions, not texts
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, languages, normalise, pieces, sentences
+from pagewright.llm import bpe, languages, normalise, ocr, pieces, sentences
 from pagewright.llm.body import body_blocks
 from pagewright.plans.session import table
 
@@ -43,6 +43,10 @@ def p5_normalised(spark, d):
     return normalise.normalised_texts(refs.dropDuplicates())
 
 
+def p6_found(spark, d):
+    return ocr.repairs(table(spark, d, "blocks"), table(spark, d, "bundles"))[0]
+
+
 def p7_ids(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -51,6 +55,6 @@ def p7_offsets(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), what="offsets")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p7_ids, p7_offsets)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets)}
 
 SQL: dict[str, str] = {}
