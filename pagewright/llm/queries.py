@@ -6,7 +6,9 @@ of from the wide inputs: the exchange then carries keys and positions, not texts
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, languages, normalise, ocr, pieces, sentences
+from pyspark.sql import functions as F
+
+from pagewright.llm import bpe, languages, normalise, ocr, pieces, sentences, subjects
 from pagewright.llm.body import body_blocks
 from pagewright.plans.session import table
 
@@ -55,6 +57,16 @@ def p7_offsets(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), what="offsets")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets)}
+def p9_found(spark, d):
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples"))
+
+
+def p9_composition(spark, d):
+    """The corpus by subject: posts and their share; a post with several subjects counts for each."""
+    found = p9_found(spark, d)
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}
