@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, languages, normalise, ocr, pieces, sentences, subjects
+from pagewright.llm import bpe, languages, normalise, ocr, packing, pieces, sentences, subjects
 from pagewright.llm.body import body_blocks
 from pagewright.plans.session import table
 
@@ -57,6 +57,14 @@ def p7_offsets(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), what="offsets")
 
 
+def p8_containers(spark, d):
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p8_filling(spark, d):
+    return packing.filling(p8_containers(spark, d), table(spark, d, "containers"))
+
+
 def p9_found(spark, d):
     return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples"))
 
@@ -67,6 +75,6 @@ def p9_composition(spark, d):
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}
