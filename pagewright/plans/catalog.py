@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import nested_queries
+from pagewright.plans import core_queries, core_sql, nested_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (core_queries, nested_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+SQL = {**core_sql.SQL, **nested_queries.SQL}
