@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import WHITE
 from pagewright.operators.layout import body, heading_blocks
+from pagewright.plans.session import materialise
 
 JA_LEGAL, SLIDES, EN_LEGAL, GENERAL, OTHER = "japanese_legal", "presentation", "english_legal", "general", "other"
 #: Priority, and whether paragraphs are long, pages are paragraphs, only headers start paragraphs (fixed values).
@@ -135,9 +136,9 @@ def slide_votes(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(share.alias("slide_share")).withColumn("is_slides", F.col("slide_share") > SLIDE_SHARE)
 
 
-def document_features(o: DataFrame, pages: DataFrame) -> DataFrame:
+def document_features(o: DataFrame, pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """(doc_id, feature, frequency) of each document of pages: slides first, else by priority, else other."""
-    hits = index_hits(o)
+    hits = index_hits(o) if hits is None else hits
     coords = adopted_coordinates(hits)
     ok = coords.join(caption_histogram(o), ["doc_id", "feature"]).where(F.col("frequency") > LEAST_HITS)
     prio = F.create_map(*[F.lit(x) for f, t in TRAITS.items() for x in (f, t[0])])
@@ -159,8 +160,8 @@ def document_features(o: DataFrame, pages: DataFrame) -> DataFrame:
 
 def feature_traits(o: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What paragraph marking needs: (doc_id, feature, regex, traits), and (doc_id, x0s)."""
-    features = document_features(o, pages)
-    hits = index_hits(o)
+    hits = materialise(index_hits(o))
+    features = document_features(o, pages, hits)
     trait = lambda k: F.create_map(*[F.lit(x) for f, t in TRAITS.items() for x in (f, t[k])])[F.col("feature")]
     rules = features.join(adopted_rules(hits).select("doc_id", "feature", "regex"), ["doc_id", "feature"], "left")
     x0s = features.join(adopted_coordinates(hits), ["doc_id", "feature"]).select("doc_id", "x0s")

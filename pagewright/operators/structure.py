@@ -62,7 +62,7 @@ def marked_heads(o: DataFrame, features: DataFrame, adopted_x0: DataFrame) -> Da
     )
     return b.select(
         "doc_id", "page_id", "page_ord", "ord", "block_id", "text", "lang", "is_headline", "page_changed", "is_head", "after_end",
-        marked.alias("marked"),
+        "long_proposition", "page_division", marked.alias("marked"),
     )
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import classify, contents, layout, links, structure
-from pagewright.plans.session import table
+from pagewright.api import analyze, analyze_bundles
+from pagewright.operators import classify, contents, layout, links, paragraphs, references as refs, structure
+from pagewright.sources.bundles import bundle_tables
+from pagewright.sources.files import tables_as_tsv
+from pagewright.plans.session import materialise, table
 
 BASE_URL = "http://contents.example"
 
@@ -100,7 +103,7 @@ def headlines(s, d):
 
 
 def paragraph_heads(s, d):
-    o = oriented(s, d)
+    o = materialise(oriented(s, d))
     return structure.marked_heads(o, *classify.feature_traits(o, _pages(s, d))).select(
         "block_id", "is_headline", "page_changed", "is_head", "after_end", "marked"
     )
@@ -195,6 +198,47 @@ def pages_without_sentences(s, d):
     return links.silent_pages(_sentences(s, d), table(s, d, "pages"))
 
 
+def _marked(s, d):
+    o = materialise(oriented(s, d))
+    return structure.marked_heads(layout.valid(o), *classify.feature_traits(o, _pages(s, d)))
+
+
+def references(s, d):
+    return refs.references(oriented(s, d))
+
+
+def reference_gate(s, d):
+    return refs.gate(oriented(s, d))
+
+
+def paragraph_exact(s, d):
+    return paragraphs.paragraphs(_marked(s, d))
+
+
+def sentence_exact(s, d):
+    return paragraphs.exact_sentences(_marked(s, d))
+
+
+def knowledge(s, d):
+    return analyze(table(s, d, "blocks"), table(s, d, "pages"), table(s, d, "contents"))
+
+
+def table_tsv(s, d):
+    return tables_as_tsv(table(s, d, "cells"))
+
+
+def bundle_blocks(s, d):
+    return bundle_tables(table(s, d, "bundles"))[0]
+
+
+def bundle_contents(s, d):
+    return bundle_tables(table(s, d, "bundles"))[2]
+
+
+def bundle_knowledge(s, d):
+    return analyze_bundles(table(s, d, "bundles"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -203,6 +247,7 @@ QUERIES = {
         toc_span, headlines, paragraph_heads, index_regex_hist, caption_hist, adopted_index, index_coordinates, document_feature,
         slide_vote, label_extract, caption_labels, nearest_caption, label_vote, label_assign, nearest_text, content_geometry,
         table_normalize, contents_by_label, content_urls, label_link, unreferenced_contents, no_reference_pages,
-        pages_with_sentences, pages_without_sentences,
+        pages_with_sentences, pages_without_sentences, references, reference_gate, paragraph_exact, sentence_exact, knowledge, table_tsv,
+        bundle_blocks, bundle_contents, bundle_knowledge,
     )
 }
