@@ -46,7 +46,11 @@ def p5_normalised(spark, d):
 
 
 def p6_found(spark, d):
-    return ocr.repairs(table(spark, d, "blocks"), table(spark, d, "bundles"))[0]
+    return ocr.Repairs(table(spark, d, "blocks"), table(spark, d, "bundles")).found()
+
+
+def p6_paragraphs(spark, d):
+    return ocr.Repairs(table(spark, d, "blocks"), table(spark, d, "bundles")).paragraphs()
 
 
 def p7_ids(spark, d):
@@ -75,6 +79,6 @@ def p9_composition(spark, d):
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p6_paragraphs, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}

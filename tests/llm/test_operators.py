@@ -230,18 +230,24 @@ def test_repairs(spark):
     top = {"elements": [{"Page": 0, "Path": "//Document/P", "Text": "- 4 -"}, {"Page": 0, "Path": "//Document/P", "Text": text}, {"Text": None}]}
     bundles = spark.createDataFrame([(5, 5, "scan", json.dumps(top)), (6, 6, "scan", None)], "bundle_id long, doc_id long, layer string, payload string")
     blocks = scan(spark)
-    got = {(r.ref, r.noise_kind, r.char_pos, r.repaired) for r in ocr.repairs(blocks, bundles)[0].collect()}
+    repairs = ocr.Repairs(blocks, bundles)
+    got = {(r.ref, r.noise_kind, r.char_pos, r.repaired) for r in repairs.found().collect()}
     kinds = Counter(k for _, k, _, _ in got)
     assert kinds["furniture"] == 17
     by = {(k, r) for _, k, _, r in got if k != "furniture"}
     assert {("ocr", "harbour"), ("ocr", "office"), ("ocr", "claim"), ("hyphen", "office"), ("hyphen", "records")} <= by
     assert ("elem:5:1", "hyphen", text.index("rec-"), "records") in got and ("elem:5:0", "furniture", 0, "") in got
     assert len(by) == 5
+    text = {r.first_ref: r.text for r in repairs.paragraphs().collect()}
+    assert text["elem:5:1"] == "The harbour office records every claim before the winter season and the harbour office measures."
+    assert set(text) == {"elem:5:1", "block:1"} and "the harbour office measures the ware" in text["block:1"]
+    assert "harbour office records every claim before the" in text["block:1"] and "of-" not in text["block:1"]
 
 
 def test_repairs_of_nothing(spark):
     bundles = spark.createDataFrame([], "bundle_id long, doc_id long, layer string, payload string")
-    assert ocr.repairs(scan(spark).limit(0), bundles)[0].count() == 0
+    r = ocr.Repairs(scan(spark).limit(0), bundles)
+    assert r.found().count() == 0 and r.paragraphs().count() == 0
 
 
 @pytest.mark.parametrize(("text", "number"), [("12", True), ("- l2 -", True), ("[7]", True), ("5 / 6O", True), ("Page 3", True), ("xiv", True), ("§ 3", False), ("Chapter 3", False), ("12.5 kg", False)])
