@@ -37,6 +37,7 @@ _CLOSE = {"”": "“„‟”", "“": "„", "’": "‘", "»": "«", "«": "
 _BRACKETS = set("）)]］】》〉")
 _VISIBLE = re.compile(rf"[^{_GAP}\x00-\x1f\x7f-\x9f]")
 _TOKEN_BREAK = re.compile(rf"[{_GAP}“”„«»\"「」『』（）()\[\]［］【】—–/,;:，；：、]")
+_GLUED = re.compile(r"\w*(?:[^\W\d_]{4,}[.?!](?=[^\W\d_a-zß-ÿ]|\d{1,3}$)|[a-zß-ÿ]{2,}[.?!](?=[A-ZÀ-Þ][a-zß-ÿ]))")
 _LIST = re.compile(rf"\d{{1,3}}[.)][{_GAP}]+(\w)")
 _SPACED = re.compile(r"(?:^|(?<=[\s(]))(?:" + "|".join(re.escape(a).replace(r"\ ", r"[\s  ]?") for a in SPACED_ABBREVIATIONS) + ")", re.I)
 _KIND = {**dict.fromkeys(".．", "."), **dict.fromkeys("…", "..."), **dict.fromkeys("!?！？؟‼⁇⁈⁉", "!"), **dict.fromkeys("。｡", "cjk"), **dict.fromkeys("।॥۔", "danda")}
@@ -193,6 +194,8 @@ def candidates(text: str) -> list[tuple[int, int, tuple, str]]:
                 end += 1
                 closer = "u"
         k = _skip(text, end, n)
+        if kind == "." and k == end and k + 1 < n and text[k].isupper() and text[k + 1] == "." and text[i - 1].isupper():
+            continue  # within capitals with periods
         white = "0" if k == end else "n" if "\n" in text[end:k] else "_" if any(c.isspace() for c in text[end:k]) else "0"
         nxt = _next_class(text, k, n)
         if k < n and text[k] in TERMINATORS:
@@ -206,6 +209,9 @@ def candidates(text: str) -> list[tuple[int, int, tuple, str]]:
             b = i
             while b > 0 and i - b < 24 and not _TOKEN_BREAK.match(text[b - 1]):
                 b -= 1
+            glued = _GLUED.match(text[b:i])
+            if glued:  # the word before ends a sentence that no blank parts from this token
+                b += glued.end()
             token = text[b:i]
             tok, start = (_token_class(token) if kind == "." else "-"), b
             if kind == "." and i - b <= 3:
