@@ -23,4 +23,31 @@ QUERIES = {
     "p1_schema_tables": lambda s, d: nested.schema_tables(_nodes(s, d)),
 }
 
-SQL: dict[str, str] = {}
+_PAGE = """CASE WHEN json_type(e, '$.Page') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') AND trunc(try_cast(e->>'$.Page' AS DOUBLE)) = try_cast(e->>'$.Page' AS DOUBLE)
+  THEN try_cast(e->>'$.Page' AS DOUBLE)::BIGINT + 1 END"""
+
+
+def _items(value: str, path: str) -> str:
+    """A list of what stands at a path: the entries of an array, a lone value as the only entry, nothing for null."""
+    return (
+        f"CASE json_type({value}, '{path}') WHEN 'ARRAY' THEN json_extract({value}, '{path}[*]') WHEN 'NULL' THEN []::JSON[] "
+        f"ELSE CASE WHEN json_type({value}, '{path}') IS NULL THEN []::JSON[] ELSE [json_extract({value}, '{path}')] END END"
+    )
+
+
+_NODES = f"""WITH RECURSIVE ok AS (SELECT DISTINCT bundle_id, payload::JSON AS j FROM bundles WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload ELSE '0' END) = 'OBJECT'),
+top_ AS (SELECT bundle_id, CASE WHEN json_type(j, '$.elements') IS NOT NULL THEN {_items('j', '$.elements')} ELSE {_items('j', '$.structuredData.elements')} END AS xs FROM ok),
+nodes AS (
+  SELECT bundle_id, (i - 1)::VARCHAR AS node_pos, '' AS parent_pos, xs[i] AS e, NULL::BIGINT AS above
+  FROM (SELECT bundle_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM top_) WHERE json_type(xs[i]) = 'OBJECT'
+  UNION ALL
+  SELECT bundle_id, node_pos || '.' || (i - 1), node_pos, ks[i], page
+  FROM (SELECT bundle_id, node_pos, page, ks, unnest(range(1, len(ks) + 1)) AS i
+    FROM (SELECT bundle_id, node_pos, coalesce({_PAGE}, above) AS page, {_items('e', '$.Kids')} AS ks FROM nodes)) WHERE json_type(ks[i]) = 'OBJECT'),
+paged AS (SELECT *, coalesce({_PAGE}, above, -1) AS page_id FROM nodes),
+files AS (SELECT bundle_id, node_pos || '#' || (i - 1) AS node_pos, node_pos AS parent_pos, page_id
+  FROM (SELECT bundle_id, node_pos, page_id, fs, unnest(range(1, len(fs) + 1)) AS i FROM (SELECT *, {_items('e', '$.filePaths')} AS fs FROM paged)) WHERE json_type(fs[i]) <> 'NULL')"""
+
+SQL = {
+    "p1_found": f"{_NODES} SELECT bundle_id, node_pos, parent_pos, page_id FROM paged UNION ALL SELECT bundle_id, node_pos, parent_pos, page_id FROM files",
+}
