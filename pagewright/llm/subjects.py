@@ -141,7 +141,9 @@ def ngrams(text: str) -> list[int]:
 
 def without_comparison(sentence: str) -> tuple[str, str]:
     """(what is said, what it is compared with); the second is empty where there is no comparison."""
-    m = _THAN.search(sentence)
+    m = None
+    for m in _THAN.finditer(sentence):  # the last one: "dit que ... plus que ..." compares with what follows it
+        pass
     if m and m.start() > 3:
         return sentence[: m.start()], sentence[m.end() :]
     m = _THAN_JA.search(sentence)
