@@ -14,7 +14,9 @@ OVERLAP_AREA, OVERLAP_CHARS = 10.0, 100
 
 
 def distinct_contents(contents: DataFrame) -> DataFrame:
-    return contents.dropDuplicates(["content_id"])
+    """Each content once, with the engine's columns alone."""
+    cols = ("doc_id", "page_id", "ord", "content_id", "kind", "label", "path", "x0", "y0", "x1", "y1", "meta")
+    return contents.select(*cols).dropDuplicates(["content_id"])
 
 
 def captions(o: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def normal_cells(cells: DataFrame) -> DataFrame:
 
     A gap with nothing above becomes the text ``nan`` and so keeps its row. Tables of one row or none are dropped.
     """
-    c = cells.dropDuplicates()
+    c = cells.select("content_id", "row_no", "col_no", "cell_value").dropDuplicates()
     w = Window.partitionBy("content_id", "col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     v = F.coalesce(F.last("cell_value", ignorenulls=True).over(w), F.lit("nan"))
     v = F.regexp_replace(F.regexp_replace(v, "_x000D_", ""), r"^\s+|\s+$", "")

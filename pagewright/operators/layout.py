@@ -11,13 +11,21 @@ from pagewright.operators.ordered import carry_forward
 HEADER_RATIO, FOOTER_RATIO = 0.05, 0.05
 
 
+BLOCK_COLUMNS = ("block_id", "doc_id", "page_id", "page_ord", "ord", "path", "text", "font_size", "x0", "y0", "x1", "y1")
+PAGE_COLUMNS = ("doc_id", "page_id", "page_ord", "width", "height", "main_font_size", "title")
+
+
 def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """Exact duplicate rows share block_id, so one exchange on it removes them; blocks without text go."""
-    return blocks.where("text is not null").dropDuplicates(["block_id"])
+    """Exact duplicate rows share block_id, so one exchange on it removes them; blocks without text go.
+
+    Only the engine's columns are kept, so other columns of the input clash with nothing. Blocks without a position
+    count as neither margin nor body.
+    """
+    return blocks.select(*BLOCK_COLUMNS).where("text is not null").dropDuplicates(["block_id"])
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    return pages.dropDuplicates(["doc_id", "page_id"])
+    return pages.select(*PAGE_COLUMNS).dropDuplicates(["doc_id", "page_id"])
 
 
 def page_origins(blocks: DataFrame, pages: DataFrame) -> DataFrame:

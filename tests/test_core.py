@@ -262,3 +262,12 @@ def test_empty_tables(spark):
     o = layout.oriented(b, p)
     assert structure.block_sentences(o).count() == 0 and references.references(o).count() == 0
     assert classify.document_features(o, p).count() == 0 and structure.paragraph_islands(o).count() == 0
+
+
+def test_nulls_and_clashing_columns(spark):
+    b = blocks(spark, ["One two.", "References", "[2] A, title."]).withColumns({c: F.lit(1) for c in ("top", "bottom", "height", "title", "margin", "lang")})
+    b = b.unionByName(b.withColumns({"block_id": F.col("block_id") + 10, "path": F.lit(None).cast("string"), "font_size": F.lit(None).cast("double"), "y0": F.lit(None).cast("double")}))
+    p = pages(spark).withColumn("top", F.lit(2))
+    o = layout.oriented(b, p)
+    assert o.count() == 6 and references.references(o).count() >= 1 and classify.document_features(o, p).count() == 1
+    assert structure.block_sentences(o).count() >= 2
