@@ -9,7 +9,7 @@ cut_at of a text is the first level at which all segments, without blanks around
 
 Defined results: null or empty texts and texts of at most max_chars give one piece and no cut_at row; a run
 without any boundary is cut hard at the limit (cut_at ``none``); an overlap of the limit or more is lowered
-to half of the limit, so that every piece goes forward; the pieces cover every character of the text.
+to half of the limit, so that every piece goes forward (a null one counts as 0); a class without a limit has no rows; the pieces cover every character of the text.
 """
 
 from __future__ import annotations
@@ -135,11 +135,14 @@ def cut_text(text: str | None, max_chars: int, overlap: int, chain: Chain) -> tu
 def _limited(df: DataFrame, key: str, text: str, limits: DataFrame) -> DataFrame:
     """Texts over the limit of their script, with the limit. limits has two rows (fixed): a broadcast of bounded size."""
     kind = F.when(F.col(text).rlike(KANA_HAN), "kana_han").otherwise("other")
+    few = limits.where(F.col("script_class").isin("kana_han", "other")).groupBy("script_class")
+    few = few.agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
     return (
         df.select(F.col(key), F.col(text).alias("text"), kind.alias("script_class"))
-        .join(F.broadcast(limits.dropDuplicates(["script_class"])), "script_class")
+        .join(F.broadcast(few), "script_class")
         .where(F.length("text") > F.col("max_chars"))
-        .select(key, "text", "max_chars", "overlap_chars")
+        .where("max_chars >= 1")
+        .select(key, "text", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
     )
 
 

@@ -12,6 +12,7 @@ each subject on held-out sentences.
 
 Defined results: posts without words of their own have no row; posts whose words fit no subject are ``general``;
 spam is ``advert`` alone; whole texts are read, whatever their length; repeated rows count once.
+Without labelled examples there is no subject to give, and no row.
 """
 
 from __future__ import annotations
@@ -319,12 +320,14 @@ def sampled_posts(documents: DataFrame, most: int) -> list[tuple[str, str]]:
         .limit(2 * most)
         .collect()
     )
-    return [(r[0], own_words(r[1])) for r in sorted(rows, key=lambda r: r[2])]
+    return [(r[0], own_words(r[1])) for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0))]
 
 
 def subjects_of(documents: DataFrame, examples: DataFrame, most: int = SAMPLE_POSTS, max_examples: int = 20_000) -> DataFrame:
     """(doc_id, subject): one row per subject of each post. No shuffle: the model of fixed size is broadcast."""
     labelled = [(r[0], r[1]) for r in examples.where("text is not null and subject is not null").select("subject", "text").limit(max_examples).collect()]
+    if not any(own_words(t) for _, t in labelled):
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string")
     model = train(sorted(labelled), sampled_posts(documents, most))
     sent = documents.sparkSession.sparkContext.broadcast((model.names, model.w.astype(np.float16), model.b, model.cut))
 

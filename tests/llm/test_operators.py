@@ -140,6 +140,8 @@ def test_limits_by_script(spark):
     df = block_table(spark, ["abcdefgh", "abcdefghi", "あいうえお", "あいうえおか", None, ""])
     got = {r.block_id: r.cut_at for r in pieces.split_oversized(df, limits.unionByName(limits), pieces=False).collect()}
     assert got == {1: "none", 3: "none"}
+    blank = limits.withColumn("overlap_chars", F.lit(None).cast("int")).withColumn("max_chars", F.when(F.col("script_class") == "other", F.col("max_chars")))
+    assert {r.block_id for r in pieces.split_oversized(df, blank).collect()} == {1}
 
 
 # --- p4 ---------------------------------------------------------------------------------------------------------
@@ -326,6 +328,8 @@ def test_subjects(spark, data):
     for r in got:
         by.setdefault(r.doc_id, set()).add(r.subject)
     assert not {10**6, 10**6 + 1, 10**6 + 2} & set(by)
+    none = subjects.subjects_of(both, spark.createDataFrame([], "subject string, text string"))
+    assert none.count() == 0
     assert by[10**6 + 3] == {"general"} and by[10**6 + 4] == {"software"} and by[10**6 + 5] == {"advert"}
 
 
