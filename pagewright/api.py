@@ -11,14 +11,20 @@ from pagewright.sources.bundles import bundle_tables
 __all__ = ["analyze", "analyze_bundles", "existLabel", "getLabels"]
 
 
-def analyze(blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url: str = "http://contents.example", deep: bool = False) -> DataFrame:
-    """Knowledge records of all documents of the three tables."""
-    return knowledge(blocks, pages, contents, base_url, deep)
-
-
-def analyze_bundles(bundles: DataFrame, base_url: str = "http://contents.example", deep: bool = False) -> DataFrame:
-    """Knowledge records of extracted bundles (bundle_id, doc_id, payload)."""
-    return knowledge(*bundle_tables(bundles), base_url, deep)
+def analyze(
+    blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url: str = "http://contents.example", deep: bool = False,
+    cells: DataFrame | None = None, images: DataFrame | None = None,
+) -> DataFrame:
+    """Knowledge records of all documents of the three tables; cells and images (content_id, one_colour) let more contents be checked."""
+    return knowledge(blocks, pages, contents, base_url, deep, cells, images)
+
+
+def analyze_bundles(
+    bundles: DataFrame, base_url: str = "http://contents.example", deep: bool = False,
+    cells: DataFrame | None = None, images: DataFrame | None = None,
+) -> DataFrame:
+    """Knowledge records of extracted bundles (bundle_id, doc_id, payload); every text with a label is a caption."""
+    return knowledge(*bundle_tables(bundles), base_url, deep, cells, images, every_caption=True)
 
 
 def getLabels(text: str | None, isCaption: bool = False) -> list[str]:  # noqa: N802, N803

@@ -19,11 +19,14 @@ def distinct_contents(contents: DataFrame) -> DataFrame:
     return contents.select(*cols).dropDuplicates(["content_id"])
 
 
-def captions(o: DataFrame) -> DataFrame:
-    """One row per label of each caption block: (doc_id, page_id, ord, block_id, label, meta, x0, y0)."""
-    b = o.where(F.col("path").rlike("/Caption"))
+def captions(o: DataFrame, every_text: bool = False) -> DataFrame:
+    """One row per label of each caption block: (doc_id, page_id, ord, block_id, label_no, label, meta, x0, y0).
+
+    With every_text each text with a label is a caption, whatever its path.
+    """
+    b = o if every_text else o.where(F.col("path").rlike("/Caption"))
     return b.select(
-        "doc_id", "page_id", "ord", "block_id", F.explode(T.labels(F.col("text"))).alias("label"),
+        "doc_id", "page_id", "ord", "block_id", F.posexplode(T.labels(F.col("text"))).alias("label_no", "label"),
         F.array(F.trim("text")).alias("meta"), "x0", F.col("top").alias("y0"),
     )
 
@@ -33,10 +36,11 @@ def _distances(contents: DataFrame, caps: DataFrame) -> DataFrame:
 
     The join is on (document, page), of which a page has a handful of either side; pairs beyond the radius go.
     """
-    c = caps.select("doc_id", "page_id", F.col("ord").alias("cap_ord"), F.col("label").alias("cap_label"), F.col("meta").alias("cap_meta"), F.col("x0").alias("lx"), F.col("y0").alias("ly"))
+    no = F.col("label_no") if "label_no" in caps.columns else F.lit(0)  # the place among the labels of one text
+    c = caps.select("doc_id", "page_id", F.col("ord").alias("cap_ord"), no.alias("cap_no"), F.col("label").alias("cap_label"), F.col("meta").alias("cap_meta"), F.col("x0").alias("lx"), F.col("y0").alias("ly"))
     d = contents.join(c, ["doc_id", "page_id"])
     return d.select(
-        "doc_id", "page_id", "kind", "content_id", "cap_ord", "cap_label", "cap_meta",
+        "doc_id", "page_id", "kind", "content_id", "cap_ord", "cap_no", "cap_label", "cap_meta",
         F.hypot(F.col("x0") - F.col("lx"), F.col("y0") - F.col("ly")).alias("upper"),
         F.hypot(F.col("x0") - F.col("lx"), F.col("y1") - F.col("ly")).alias("lower"),
     )
@@ -81,7 +85,7 @@ def assign_labels(contents: DataFrame, caps: DataFrame, radius: float = RADIUS)
 
     near = _distances(contents, caps).where((F.col("upper") < radius) | (F.col("lower") < radius))
     each = near.groupBy("content_id").agg(
-        F.sort_array(F.collect_list(F.struct("cap_ord", "cap_label", "cap_meta", "upper", "lower"))).alias("caps")
+        F.sort_array(F.collect_list(F.struct("cap_ord", "cap_no", "cap_label", "cap_meta", "upper", "lower"))).alias("caps")
     )
     fed = contents.select("doc_id", "kind", "page_id", "ord", "content_id").join(each, "content_id", "left")
 
@@ -144,6 +148,25 @@ def checked_geometry(contents: DataFrame, o: DataFrame, pages: DataFrame) -> Dat
     )
 
 
+def selected(contents: DataFrame, o: DataFrame, pages: DataFrame, caps: DataFrame, cells: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Contents that pass the checks, with label and meta of their caption; those delivered stay where no caption is near.
+
+    A content that the geometry cannot judge (no position, no page) stays. With cells, tables go that are empty or of
+    one row once normalised; with images (content_id, one_colour), images of one colour.
+    """
+    bad = checked_geometry(contents, o, pages).where("not is_ok").select("content_id")
+    if images is not None:
+        bad = bad.unionByName(images.where("one_colour").select("content_id")).dropDuplicates()
+    c = contents.join(bad, "content_id", "left_anti")
+    if cells is not None:
+        full = normal_cells(cells).select("content_id").dropDuplicates().withColumn("full", F.lit(True))
+        c = c.join(full, "content_id", "left").where("full or coalesce(kind <> 'TABLE', true)").drop("full")
+    given = assign_labels(c, caps).where("label <> ''").select("content_id", F.col("label").alias("cap_label"), F.col("meta").alias("cap_meta"))
+    c = c.join(given, "content_id", "left")
+    c = c.withColumns({"label": F.coalesce("cap_label", "label"), "meta": F.coalesce("cap_meta", "meta")})
+    return c.drop("cap_label", "cap_meta")
+
+
 def normal_label(c):
     """A delivered label in half width and lower case, without blanks."""
     return F.replace(F.lower(T.half_width(c)), F.lit(" "), F.lit(""))

@@ -45,11 +45,15 @@ def page_context(o: DataFrame, refs: DataFrame, toc: DataFrame) -> DataFrame:
     )
 
 
-def knowledge(blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url: str = "http://contents.example", deep: bool = False) -> DataFrame:
+def knowledge(
+    blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url: str = "http://contents.example", deep: bool = False,
+    cells: DataFrame | None = None, images: DataFrame | None = None, every_caption: bool = False,
+) -> DataFrame:
     """One row per sentence of every document, and one stand-in row per page with contents nobody mentions.
 
     (doc_id, section, para_no, sent_no, page_id, sentence, lang, images, tables, page). Blocks of tables of contents
-    and reference lists are taken out first. A document has no limit of size: see ``paragraphs``.
+    and reference lists are taken out first. A document has no limit of size: see ``paragraphs``. Contents are checked
+    and take the label of their caption: see ``contents.selected``; with every_caption each text with a label is one.
     """
     o = materialise(layout.oriented(blocks, pages))
     toc = structure.toc_blocks(o)
@@ -60,7 +64,7 @@ def knowledge(blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url
     marked = structure.marked_heads(text, *classify.feature_traits(text, layout.distinct_pages(pages)))
     s = materialise(paragraphs.exact_sentences(marked, deep))
     key = ["doc_id", "section", "para_no", "sent_no"]
-    c = C.distinct_contents(contents)
+    c = materialise(C.selected(C.distinct_contents(contents), text, pages, C.captions(o, every_caption), cells, images))
     c = labelled(c).join(C.stored_paths(c, base_url).select("content_id", "url"), "content_id").withColumn("meta", F.col("meta"))
     said = s.where(T.exists_label(F.col("sentence"))).select(*key, F.explode(T.labels(F.col("sentence"))).alias("label"))
     hit = said.join(c.where("label <> ''"), ["doc_id", "label"])

@@ -220,7 +220,7 @@ def sentence_exact(s, d):
 
 
 def knowledge(s, d):
-    return analyze(table(s, d, "blocks"), table(s, d, "pages"), table(s, d, "contents"))
+    return analyze(table(s, d, "blocks"), table(s, d, "pages"), table(s, d, "contents"), cells=table(s, d, "cells"))
 
 
 def table_tsv(s, d):

@@ -247,6 +247,38 @@ def test_analysis_of_bundles(spark):
     assert next(r for r in k if r.sentence.startswith("NO"))["images"][0]["area"]["width"] == 128
 
 
+def test_bundle_sentence_links_its_captioned_figure(spark):
+    import json
+
+    el = lambda path, text, y: {"Page": 0, "Bounds": [72, y, 500, y + 20], "Path": path, "Text": text, "TextSize": 12}
+    fig = lambda name, y, h: {"Page": 0, "Bounds": [72, y, 200, y + h], "Path": "//Document/Figure", "filePaths": [f"figures/{name}.png"]}
+    top = {
+        "pages": [{"page_number": 0, "width": 612, "height": 792}],
+        "elements": [el("//Document/P", "The ferry left. See fig. 1 for more.", 100), fig("a", 300, 100), el("//Document/Aside/P", "Fig. 1 The ferry.", 410), fig("logo", 5, 20), fig("line", 600, 2)],
+    }
+    df = spark.createDataFrame([(1, 1, json.dumps(top))], "bundle_id long, doc_id long, payload string")
+    k = {r.sentence: r for r in api.analyze_bundles(df).collect()}
+    image = k["See fig.1 for more."].images[0]
+    assert image.surface == "fig.1" and image.area.width == 128 and image.meta == ["Fig. 1 The ferry."]
+    assert not any(s.startswith("NO_REFERENCE") for s in k)  # the logo stands in the margin and the line has no shape
+
+
+def test_knowledge_selects_and_labels_contents(spark):
+    b = blocks(spark, ["See fig. 1 and table 2 here.", ("//Document/Caption", "Fig. 1 A ferry.")])
+    cols = "doc_id long, page_id int, ord int, content_id string, kind string, label string, path string, x0 double, y0 double, x1 double, y1 double, meta array<string>"
+    rows = [
+        (1, 1, 5, "near", "IMAGE", None, "a", 72.0, 120.0, 200.0, 220.0, None), (1, 1, 6, "flat", "IMAGE", "", "b", 72.0, 500.0, 200.0, 600.0, None),
+        (1, 1, 7, "top", "TABLE", "table 2", "c", 72.0, 5.0, 200.0, 30.0, None), (1, 1, 8, "row", "TABLE", "table 2", "d", 72.0, 400.0, 200.0, 430.0, None),
+        (1, 1, 9, "full", "TABLE", "Table 2", "e", 72.0, 500.0, 200.0, 530.0, ["as delivered"]),
+    ]
+    cells = spark.createDataFrame([("row", 0, 0, "x"), ("full", 0, 0, "x"), ("full", 1, 0, "y")], "content_id string, row_no int, col_no int, cell_value string")
+    images = spark.createDataFrame([("near", False), ("flat", True)], "content_id string, one_colour boolean")
+    k = {r.sentence: r for r in api.analyze(b, pages(spark), spark.createDataFrame(rows, cols), cells=cells, images=images).collect()}
+    said = next(r for s, r in k.items() if s.startswith("See"))
+    assert [(i.id, i.meta) for i in said.images] == [("near", ["Fig. 1 A ferry."])] and [(t.id, t.meta) for t in said.tables] == [("full", ["as delivered"])]
+    assert not any(s.startswith("NO_REFERENCE") for s in k)
+
+
 def test_stream(spark, tmp_path, data):
     src = spark.read.parquet(f"{data}/bundles.parquet").where("payload is not null").select("bundle_id", "doc_id", "payload")
     src.write.parquet(str(tmp_path / "in"))
