@@ -5,8 +5,8 @@ markup, code and deletion notices are removed first. The rest is cut into senten
 subject. A post has the subjects of its sentences above the calibrated threshold of each subject; a sentence that
 names a subject only behind a comparison (``slower than the ...``) names it in passing and does not count.
 
-Training: the labelled examples show part of each vocabulary. A first model labels a bounded, hashed sample of
-posts; a post without clear evidence takes the label that its section (the thread it stands in, within its
+Training: the labelled examples show part of each vocabulary. A first model labels the posts of a bounded,
+hashed sample of whole sections; a post without clear evidence takes the label that its section (the thread it stands in, within its
 source) mostly shows. These weak labels and the examples train the final model. Thresholds are calibrated for
 each subject on held-out sentences.
 
@@ -25,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 19
 #: Bound of the unlabelled training sample, in posts.
 SAMPLE_POSTS = 6000
+#: Bound of what one section gives to it; far above the size of a thread.
+SECTION_POSTS = 200
 GENERAL, ADVERT = "general", "advert"
 
 _TAG = re.compile(r"\[(/?)quote\b[^\]\n]*\]|<(/?)blockquote\b[^>\n]*>", re.I)
@@ -312,15 +314,28 @@ def train(examples: list[tuple[str, str]], sample: list[tuple[str, str]]) -> Sub
 
 
 def sampled_posts(documents: DataFrame, most: int) -> list[tuple[str, str]]:
-    """About ``most`` posts chosen by hash of their id, at most twice as many; (section, own words)."""
+    """About ``most`` posts of whole sections, at most twice as many; (section, own words).
+
+    Sections are chosen by hash, so each chosen one has all its posts whatever the size of the corpus. Posts without a
+    thread are chosen singly. Where a few sections hold most posts, a chosen one gives ``SECTION_POSTS`` at most, and
+    posts chosen singly fill up a sample that is less than half full.
+    """
     n = documents.count()
-    rows = (
-        documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))))
-        .select(F.concat_ws("/", "source", F.col("thread_id").cast("string")).alias("section"), "text", "doc_id")
-        .limit(2 * most)
-        .collect()
-    )
-    return [(r[0], own_words(r[1])) for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0))]
+    section = F.when(F.col("thread_id").isNotNull(), F.concat_ws("/", "source", F.col("thread_id").cast("string")))
+    share = int((1 << 30) * min(1.0, most / max(n, 1)))
+    among = lambda h: F.pmod(h, F.lit(1 << 30)) < share
+    posts = documents.where("text is not null").select(section.alias("section"), "text", "doc_id", F.xxhash64("doc_id").alias("single"))
+    posts = posts.withColumn("h", F.when(F.col("section").isNull(), F.col("single")).otherwise(F.xxhash64("section")))
+    place = F.row_number().over(Window.partitionBy("section", "h").orderBy("single", "doc_id"))
+    whole = posts.where(among(F.col("h"))).dropDuplicates().withColumn("place", place)
+    if n > most:
+        whole = whole.where(F.col("place") <= SECTION_POSTS)
+    rows = whole.orderBy("h", "section", "place").limit(2 * most).select("section", "text", "doc_id").collect()
+    if n > most and 2 * len(rows) < most:
+        rows += posts.where(among(F.col("single"))).dropDuplicates().orderBy("single", "doc_id").limit(most).select("section", "text", "doc_id").collect()
+        rows = list(dict.fromkeys(rows))
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    return [(r["section"] or f"#{r['doc_id']}", own_words(r["text"])) for r in rows]
 
 
 def subjects_of(documents: DataFrame, examples: DataFrame, most: int = SAMPLE_POSTS, max_examples: int = 20_000) -> DataFrame:

@@ -318,6 +318,17 @@ def test_own_words(text, own):
     assert " ".join(subjects.own_words(text).split()) == own
 
 
+def test_sample_has_whole_sections(spark):
+    rows = [(k, f"words {k}", "s", k // 7) for k in range(7000)] + [(8000 + k, "alone", "s", None) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, thread_id long")
+    got = Counter(sec for sec, _ in subjects.sampled_posts(df.unionByName(df), 700))
+    threads = {s: n for s, n in got.items() if s.startswith("s/")}
+    assert threads and set(threads.values()) == {7} and 200 <= sum(got.values()) <= 1400
+    huge = spark.createDataFrame([(k, f"words {k}", "s", 1) for k in range(3000)], df.schema)
+    assert 150 <= len(subjects.sampled_posts(huge, 300)) <= 600
+    assert len(subjects.sampled_posts(huge, 3000)) == 3000
+
+
 def test_subjects(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "+1 ?!"), (10**6 + 3, "thanks!"), (10**6 + 4, "The compiler has a memory leak. " * 3000), (10**6 + 5, "Cheap bags now at bags7.example!!!")]
