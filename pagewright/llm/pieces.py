@@ -2,8 +2,9 @@
 
 Boundaries have levels: blank line, sentence end, clause or word, none. Within each size window the cut goes
 to the deepest valley of lexical cohesion (similarity of the blocks of units left and right of the boundary,
-compared by their terms) among the boundaries of the best level the window offers. Each next piece begins
-overlap_chars before the cut.
+compared by their terms) among the boundaries of the best level the window offers; of clauses and words, which are
+too short to compare, to the last one. Each next piece begins overlap_chars before the cut, so the first cut
+lies behind the first overlap_chars: one within them would leave the next piece the same start and window.
 
 cut_at of a text is the first level at which all segments, without blanks around them, are within the limit.
 
@@ -103,18 +104,14 @@ def cut_text(text: str | None, max_chars: int, overlap: int, chain: Chain) -> tu
     level = cut_level(text, at, max_chars)
     overlap = max(0, min(overlap, max_chars // 2))
     depth: dict[str, list[float]] = {}
-    out, cut, start = [], 0, 0
+    # A first cut within the overlap would leave the next piece the same window.
+    out, cut, start = [], overlap, 0
     while n - start > max_chars:
         top = start + max_chars
-        # A cut within the last half of what a piece may newly hold keeps pieces large; else the whole window.
-        for least in (cut + (top - cut) // 2, cut):
-            for kind in LEVELS[:3]:
-                a, b = bisect_right(at[kind], least), bisect_right(at[kind], top)
-                if a < b:
-                    break
-            else:
-                continue
-            break
+        for kind in LEVELS[:3]:
+            a, b = bisect_right(at[kind], cut), bisect_right(at[kind], top)
+            if a < b:
+                break
         else:
             out.append((start, top, "none"))
             cut, start = top, top - overlap
@@ -127,7 +124,7 @@ def cut_text(text: str | None, max_chars: int, overlap: int, chain: Chain) -> tu
             best = max(range(a, b), key=lambda k: (depth[kind][k], at[kind][k]))
         out.append((start, at[kind][best], kind))
         cut = at[kind][best]
-        start = max(cut - overlap, 0)
+        start = cut - overlap
     out.append((start, n, "end"))
     return level, out
 

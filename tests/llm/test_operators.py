@@ -128,6 +128,15 @@ def test_cut_level_and_pieces(chain, text, level):
     assert all(b - a <= 40 for a, b, _ in parts)
 
 
+def test_best_level_of_the_whole_window(chain):
+    text = "One is here.\n\n" + "and many more words follow, " * 3
+    assert pieces.cut_text(text, 40, 5, chain)[1][0] == (0, 14, "blank_line")
+    text = "The ferry left. Then it came, and many more words of it followed on"
+    assert pieces.cut_text(text, 40, 5, chain)[1][0] == (0, 16, "sentence")
+    _, parts = pieces.cut_text("A.\n\n" + "word " * 20, 40, 8, chain)  # a cut behind "A." cannot overlap by 8
+    assert parts[0] == (0, 39, "clause_or_word") and all(c == b - 8 for (_, b, _), (c, _, _) in zip(parts, parts[1:]))
+
+
 def test_pieces_of_nothing_and_odd_overlaps(chain):
     assert pieces.cut_text(None, 10, 2, chain) == (None, []) and pieces.cut_text("", 10, 2, chain) == (None, [])
     for over in (0, 9, 10, 50):
