@@ -18,7 +18,8 @@ counts, and only words that have a better reading are joined back to their occur
 line in groups of a few pages, so a document that holds a third of all rows is many groups; the last line of a
 group takes the first word of the next group from a table of one row per group.
 
-Defined results: null, empty and blank texts have no row and are no next line; repeated rows count once; a broken
+Defined results: null, empty and blank texts have no row and are no next line; repeated rows count once; lines
+without ord are inside their page, before its others, and lines without a page stand before all pages; a broken
 word whose continuation is missing (end of document or element) has no row; words of any length are handled, but
 channels of more than two misread places in a word are not tried, nor words of over 40 characters.
 """
@@ -114,7 +115,7 @@ def block_lines(blocks: DataFrame) -> DataFrame:
     marked = (
         src.repartition("doc_id", "page_id")
         .dropDuplicates(["doc_id", "page_id", "block_id", "ord", "text"])
-        .withColumn("edge", (F.col("ord") == F.min("ord").over(page)) | (F.col("ord") == F.max("ord").over(page)))
+        .withColumn("edge", F.coalesce((F.col("ord") == F.min("ord").over(page)) | (F.col("ord") == F.max("ord").over(page)), F.lit(False)))
     )
     schema = _schema(LINES)
 
@@ -338,7 +339,7 @@ def linked_lines(lines: DataFrame, dropped: DataFrame) -> DataFrame:
     """Lines without furniture, each with the first word of its next line (across pages) and whether it is broken."""
     keep = lines.where("not edge").unionByName(lines.where("edge").join(dropped, "ref", "left_anti"))
     first = F.regexp_extract("text", r"^\s*(\S+)", 1)
-    group = F.floor(F.col("page_id") / PAGES_PER_GROUP).alias("grp")
+    group = F.coalesce(F.floor(F.col("page_id") / PAGES_PER_GROUP), F.lit(-1)).alias("grp")
     b = keep.where("doc_id is not null").select("*", group).drop("next_word")
     w = Window.partitionBy("doc_id", "grp").orderBy("ord", "ref")
     inside = b.withColumn("next_word", F.lead(first).over(w)).withColumn("before", F.lag("text").over(w))
@@ -348,7 +349,7 @@ def linked_lines(lines: DataFrame, dropped: DataFrame) -> DataFrame:
         F.min_by(first, F.struct("ord", "ref")).alias("head"),
         F.max_by("text", F.struct("ord", "ref")).alias("tail"),
     )
-    d = Window.partitionBy("doc_id").orderBy("o")
+    d = Window.partitionBy("doc_id").orderBy(F.col("grp") >= 0, "o")
     ends = ends.select("doc_id", "grp", F.lead("head").over(d).alias("head"), F.lag("tail").over(d).alias("tail"))
     edge = F.col("next_word").isNull() | F.col("before").isNull()
     rim = (
@@ -559,10 +560,10 @@ class Repairs:
         In blocks a paragraph ends with a line that ends a sentence and is clearly shorter than its page's longest; in
         elements each Text is one. The first line of each is carried forward by groups of pages, see ``ordered``.
         """
-        lines = self.repaired_lines().withColumn("page_ord", F.col("page_id"))
+        lines = self.repaired_lines().withColumn("page_ord", F.coalesce("page_id", F.lit(-1)))
         b = lines.where("doc_id is not null")
-        widest = b.groupBy("doc_id", "page_id").agg(F.max(F.length("was")).alias("widest"))
-        b = b.join(widest, ["doc_id", "page_id"])
+        widest = b.groupBy("doc_id", "page_ord").agg(F.max(F.length("was")).alias("widest"))
+        b = b.join(widest, ["doc_id", "page_ord"])
         ends = F.col("was").rlike(r'[.!?。！？…][”"»」）)’]*\s*$') & (F.length("was") < F.col("widest") * SHORT_LINE)
         b = previous(b, ends, "after_end", ["page_ord", "ord", "ref"])
         begins = F.coalesce("after_end", F.lit(True))

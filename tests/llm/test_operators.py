@@ -255,6 +255,20 @@ def test_repairs(spark):
     assert "harbour office records every claim before the" in text["block:1"] and "of-" not in text["block:1"]
 
 
+def test_repairs_of_lines_without_ord_or_page(spark):
+    bundles = spark.createDataFrame([], "bundle_id long, doc_id long, layer string, payload string")
+    base = scan(spark)
+    rows = [(900, 1, 4, 4, None), (901, 2, None, None, 1), (902, 2, None, None, 2), (903, 2, None, None, 3), (904, 3, None, None, None)]
+    rows = [(k, doc, page, p, o, "p", "records every c1aim before", "scan", "", 0) for k, doc, page, p, o in rows]
+    r = ocr.Repairs(base.unionByName(spark.createDataFrame(rows, base.schema)), bundles)
+    got = {x.ref for x in r.found().collect() if x.repaired == "claim"}
+    assert got == {f"block:{k}" for k in range(900, 905)}
+    by = {x.doc_id: [] for x in r.paragraphs().collect()}
+    for x in r.paragraphs().collect():
+        by[x.doc_id].append(x.n_lines)
+    assert sum(by[2]) == 3 and sum(by[3]) == 1
+
+
 def test_repairs_of_nothing(spark):
     bundles = spark.createDataFrame([], "bundle_id long, doc_id long, layer string, payload string")
     r = ocr.Repairs(scan(spark).limit(0), bundles)
