@@ -69,6 +69,10 @@ def subwords(word: str) -> tuple[int, ...]:
     )
 
 
+#: Words whose scores are kept; more than that and the cache starts anew.
+CACHED_WORDS = 400_000
+
+
 class Model:
     """scores: (BUCKETS, languages) table; temperature and reject level from calibration."""
 
@@ -79,8 +83,6 @@ class Model:
 
     def _row(self, word: str) -> int:
         k = len(self.index)
-        if k >= 400_000:  # only the cache starts anew
-            return -1
         ids = list(subwords(word))
         if k == len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
@@ -91,22 +93,27 @@ class Model:
 
     def log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each language, number of subwords) per text; texts without letters have none."""
-        if len(self.index) > 300_000:
-            self.index, self.sums = {}, np.zeros((1024, len(LANGUAGES) + 1), np.float32)
-        get, ids, cuts = self.index.get, [], [0]
-        for t in texts:
+        total = np.zeros((len(texts), len(LANGUAGES) + 1))
+        get, ids, owner = self.index.get, [], []
+
+        def add() -> None:
+            """Add the words so far to their texts, which come in order."""
+            if ids:
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                total[np.array(owner)[first]] += np.add.reduceat(self.sums[np.array(ids)].astype(np.float64), first, axis=0)
+
+        for n_text, t in enumerate(texts):
             for w in words_of(t):
                 k = get(w)
                 if k is None:
+                    if len(self.index) >= CACHED_WORDS:  # the cache starts anew, with what it gave added up
+                        add()
+                        self.index, self.sums = {}, np.zeros((1024, len(LANGUAGES) + 1), np.float32)
+                        get, ids, owner = self.index.get, [], []
                     k = self._row(w)
-                if k >= 0:
-                    ids.append(k)
-            cuts.append(len(ids))
-        cuts = np.array(cuts)
-        total = np.zeros((len(texts), len(LANGUAGES) + 1))
-        if ids:
-            full = cuts[1:] > cuts[:-1]
-            total[full] = np.add.reduceat(self.sums[np.array(ids)].astype(np.float64), cuts[:-1][full], axis=0)
+                ids.append(k)
+                owner.append(n_text)
+        add()
         n = total[:, -1]
         z = (total[:, :-1] / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
         z -= z.max(1, keepdims=True)

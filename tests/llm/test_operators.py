@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,21 @@ def test_look_alikes_against_brute_force(spark):
     assert normalise.look_alikes(df.limit(0)).count() == 0
 
 
+def test_words_beyond_the_cache_count(monkeypatch):
+    model = lambda: languages.Model(np.random.default_rng(1).normal(size=(languages.BUCKETS, len(languages.LANGUAGES))).astype(np.float32), np.zeros(len(languages.LANGUAGES)), 1.0, 0.0)
+    texts = ["one two three four five", "", "six one seven", "eight nine ten two"]
+    want = model().log_probs(texts)
+    monkeypatch.setattr(languages, "CACHED_WORDS", 3, raising=False)
+    got = model().log_probs(texts)
+    assert np.allclose(want[0], got[0]) and list(want[1]) == list(got[1]) and want[1][1] == 0
+    monkeypatch.undo()
+    full = model()  # a cache that fills up within one call
+    full.index, full.sums = {f"#{k}": 0 for k in range(300_000)}, np.zeros((1 << 19, len(languages.LANGUAGES) + 1), np.float32)
+    many = " ".join("".join(w) for w in itertools.product("abcdefghij", repeat=5))
+    got = full.log_probs([many, texts[0]])
+    assert np.allclose(want[0][0], got[0][1]) and got[1][1] == want[1][0]
+
+
 # --- p6 ---------------------------------------------------------------------------------------------------------
 
 
