@@ -256,12 +256,7 @@ def page_table(nodes: DataFrame) -> DataFrame:
 
 def schema_tables(nodes: DataFrame) -> DataFrame:
     """One row per schema path: how many nodes, of how many bundles, form that table."""
-    return (
-        nodes.where("kind <> 'page'")
-        .groupBy("kind", "schema_path")
-        .agg(
-            F.count(F.lit(1)).alias("n_nodes"),
-            F.approx_count_distinct("bundle_id").alias("n_bundles_approx"),
-            F.count("text").alias("n_texts"),
-        )
+    per = nodes.where("kind <> 'page'").groupBy("kind", "schema_path", "bundle_id").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("t"))
+    return per.groupBy("kind", "schema_path").agg(
+        F.sum("n").alias("n_nodes"), F.count("bundle_id").alias("n_bundles"), F.sum("t").alias("n_texts")
     )

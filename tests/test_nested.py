@@ -59,3 +59,10 @@ def test_truncated_label_is_the_parent(spark, data):
     kids = n.where("parent_pos <> ''").select("bundle_id", "parent_pos").dropDuplicates()
     have = n.where("kind = 'element'").selectExpr("bundle_id", "node_pos as parent_pos")
     assert kids.join(have, ["bundle_id", "parent_pos"], "left_anti").count() == 0
+
+
+def test_schema_tables_count_bundles_exactly(spark):
+    top = json.dumps({"elements": [{"Page": 0, "Path": "//Document/P", "Text": "a"}, {"Page": 0, "Path": "//Document/P[2]"}]})
+    df = spark.createDataFrame([(k, k, top, "", 1) for k in range(3000)], SCHEMA)
+    got = nested.schema_tables(nested.nested_nodes(df)).collect()
+    assert [(r["n_nodes"], r["n_bundles"], r["n_texts"]) for r in got] == [(6000, 3000, 3000)]
