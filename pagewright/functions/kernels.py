@@ -1,7 +1,7 @@
 """Text functions whose steps depend on what came before, in plain Python; batches reach them through Arrow.
 
-Sentence ends that end no sentence (after list marks and abbreviations, within brackets) are masked by tokens, the
-text is cut, and the tokens are turned back.
+Sentence ends that end no sentence (after list marks and abbreviations, within brackets) are masked by one character
+each, the text is cut, and the masks are turned back.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import unicodedata
 
 from pagewright.functions.text import FULL_WIDTH, HALF_WIDTH, LABEL_WORDS, LANG_EN, LANG_JA, LANG_UNKNOWN, MAX_CHARS_JA, MAX_CHARS_OTHER, MIN_CHARS
 
-#: Masks of sentence ends (fixed values).
-MASKS = {"。": "_#PERIOD_JP#_", ".": "_#PERIOD#_", "?": "_#QUESTIONMARK#_", "!": "_#EXCLAMATIONMARK#_", "~": "_#TILDE#_"}
+#: Masks of sentence ends: code points that Unicode keeps for a program's own use, so that no text holds them.
+MASKS = dict(zip("。.?!~", map(chr, range(0xFDD0, 0xFDD5))))
+_UNMASK = {ord(mask): c for c, mask in MASKS.items()}
+_ANY_MASK = re.compile("[\ufdd0-\ufdd4]")
 ENDS = {LANG_JA: "。.~", LANG_EN: ".?!~", LANG_UNKNOWN: ""}
 _HALF = str.maketrans(FULL_WIDTH, HALF_WIDTH)
 _LABEL = re.compile(rf"(?:{LABEL_WORDS})+[.\- 　]*[0-9]+")
@@ -25,8 +27,13 @@ ABBREVIATIONS = ("etc", "ex", "cf", "e.g", "i.e", "s.t", "et al", "et seq", "U.S
 _MARKS = (r"[0-9]+", r"\([0-9]+\)", r"[①-⑩]", r"[Ⅰ-ⅿ]+", r"[IXV]+", r"[ixv]+", r"\A[a-rA-R]", r"(?<=\s)[a-rA-R]\)?", r"\([a-rA-R]\)")
 _PROTECTED = re.compile("(" + "|".join((*_MARKS, *(re.escape(a).replace(r"\ ", r"\s") for a in sorted(ABBREVIATIONS, key=len, reverse=True)))) + r")\.\s(?!\s|\Z)")
 _CUT = re.compile(r"\.\s(?!\s|\Z)")
-_INNER = re.compile(r"(?<=[a-zA-Z])\.(?=[a-zA-Z])|(?<=[0-9])\.(?=[0-9])|\.(?=[」)\]}])")
-_NUMBERED = re.compile(r"(\([0-9]+\)|\s[0-9]+\)|\(?[Ⅰ-ⅿ]+\)|\([IXVixv]+\)|\s[IXVixv]+\)|\([a-rA-R]\)|\s[a-rA-R]\)|\s[•-]\s|\s[①-⑩]\s)")
+#: In Japanese text: periods of decimals, addresses and before closing brackets; and every other sentence end.
+_JA_ENDS = re.compile(r"(?P<inner>(?<=[a-zA-Z])\.(?=[a-zA-Z])|(?<=[0-9])\.(?=[0-9])|\.(?=[」)\]}]))|(?P<end>[。.~])\s?")
+#: List marks within running text (fixed values): what stands in a pair of brackets, or between a blank and a closing
+#: bracket; and marks that stand between blanks.
+_BRACKETED = (r"[0-9]+", r"[\u2160-\u217F]+", r"[IXV]+", r"[ixv]+", r"[a-rA-R]")
+_BETWEEN_BLANKS = r"\s[•\-①②③④⑤⑥⑦⑧⑨⑩]\s"
+_LIST_MARK = re.compile("|".join([*(rf"[(\s]{m}\)" for m in _BRACKETED), _BETWEEN_BLANKS]))
 
 
 def half_width(text: str) -> str:
@@ -80,7 +87,7 @@ def masked_periods(text: str) -> str:
     pieces = _CUT.split(text)
     out = pieces[0]
     for p in pieces[1:]:
-        short = len(p) < MIN_CHARS and not re.search(r"\.\s(?:\s|\Z)", p)
+        short = len(p) < MIN_CHARS and not _ANY_MASK.search(p) and not re.search(r"\.\s(?:\s|\Z)", p)
         out += (MASKS["."] if short else ". ") + p
     return out
 
@@ -114,71 +121,53 @@ def masked(text: str, lang: str) -> str:
 
 
 def unmasked(text: str) -> str:
-    for c, mask in MASKS.items():
-        text = text.replace(mask, c)
-    return text
+    return text.translate(_UNMASK)
 
 
 def spaced_ends(text: str, long_proposition: bool, lang: str) -> str:
     """One blank after a final sentence end; in Japanese after every sentence end that is no decimal point, address or
     abbreviation. Tildes of the text are masked, as the tilde marks paragraphs from here on."""
     text = text.replace("~", MASKS["~"])
-    ends = ENDS[lang]
-    if not ends:
-        return text
-    if not long_proposition and lang == LANG_JA:
-        text = text.replace("。 ", "。  ")
-    text = re.sub(f"([{re.escape(ends)}])\\Z", r"\1 ", text)
-    if lang != LANG_JA:
-        return text
-    parts = re.split(f"([{re.escape(ends)}])\\s", text)
-    out = []
-    for k, part in enumerate(parts):
-        if k % 2:
-            out.append(part + " ")
-            continue
-        part = re.sub(_PROTECTED, lambda m: m[1] + MASKS["."] + " ", part)
-        part = _INNER.sub(MASKS["."], part)
-        out.append(re.sub(f"([{re.escape(ends)}])", r"\1 ", part))
-    return "".join(out)
+    if lang == LANG_JA:
+        wide = text if long_proposition else text.replace("。 ", "。  ")
+        return _JA_ENDS.sub(lambda m: f"{m['end']} " if m["end"] else MASKS["."], wide)
+    return f"{text} " if text.endswith((*ENDS[lang],)) else text
 
 
 def cut_numbered(text: str) -> list[str]:
-    """Pieces that begin with a list mark in running text, each followed by a mark of a cut."""
-    parts = [p for p in _NUMBERED.split(text) if p.strip()]
-    if len(parts) < 2:
-        return [text]
-    out, mark = [], ""
-    for p in parts:
-        if _NUMBERED.search(p):
-            mark += p
-        else:
-            out += [mark + p, "~"]
-            mark = ""
-    return out
+    """Pieces of running text, each with the list marks that lead it in and followed by a mark of a cut.
+
+    A text without marks, or of marks alone, is one piece.
+    """
+    out, lead, at = [], "", 0
+    hits = [m.span() for m in _LIST_MARK.finditer(text)]
+    for begin, end in [*hits, (len(text), len(text))]:
+        if said := text[at:begin].strip() and text[at:begin]:
+            out += [lead + said, "~"]
+            lead = ""
+        lead, at = lead + text[begin:end], end
+    return out if hits and out else [text]
+
+
+def _taken(held: str, text: str, most: int, closers: frozenset[str]) -> tuple[list[str], str]:
+    """(what is complete once text joins what is held, what is held then)."""
+    whole = held + text
+    if len(whole) <= most:
+        return ([whole], "") if text in closers else ([], whole + " " * (len(text) < MIN_CHARS))
+    rest = (len(whole) - 1) // most * most
+    return [whole[k : k + most] + "..." for k in range(0, rest, most)], whole[rest:]
 
 
 def divided_by_length(elements: list[tuple[str, int]], lang: str, deep: bool = False) -> list[tuple[str, int]]:
     """Elements (text, page) of a paragraph, texts and sentence ends in turn, as sentences of bounded length.
 
     Over the limit (300 in Japanese, else 2000) a text is cut into pieces with ``...``; the last piece waits for its
-    sentence end. Texts under five characters are strung to what follows.
+    sentence end. Texts under five characters are strung to what follows. What still waits at the end is a sentence.
     """
-    if deep:
-        elements = [(s, page) for text, page in elements for s in cut_numbered(text)]
-    most, ends = (MAX_CHARS_JA if lang == LANG_JA else MAX_CHARS_OTHER), ENDS[lang]
-    out, waiting = [], ""
+    most, closers = (MAX_CHARS_JA if lang == LANG_JA else MAX_CHARS_OTHER), frozenset(ENDS[lang])
+    out, held, page = [], "", 0
     for text, page in elements:
-        whole = waiting + text
-        if len(whole) > most:
-            cuts = range(0, len(whole), most)
-            out += [(whole[k : k + most] + "...", page) for k in cuts[:-1]]
-            waiting = whole[cuts[-1] :]
-        elif len(text) == 1 and text in ends:
-            out.append((whole, page))
-            waiting = ""
-        else:
-            waiting = whole + " " if len(text) < MIN_CHARS else whole
-    if waiting and elements:
-        out.append((waiting, elements[-1][1]))
-    return out
+        for part in cut_numbered(text) if deep else (text,):
+            ready, held = _taken(held, part, most, closers)
+            out += [(s, page) for s in ready]
+    return [*out, (held, page)] if held else out

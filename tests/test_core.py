@@ -78,9 +78,10 @@ def test_chunks(spark):
 
 
 def test_masks():
-    assert K.masked_periods("See 3. Next one is here. ") == "See 3_#PERIOD#_Next one is here. "
-    assert K.masked_periods("Done. No. Others follow here.") == "Done_#PERIOD#_No. Others follow here."
-    assert K.masked_brackets("A (b. c) d. e", "en_US") == "A (b_#PERIOD#_ c) d. e"
+    stop = K.MASKS["."]
+    assert K.masked_periods("See 3. Next one is here. ") == f"See 3{stop}Next one is here. "
+    assert K.masked_periods("Done. No. Others follow here.") == f"Done{stop}No. Others follow here."
+    assert K.masked_brackets("A (b. c) d. e", "en_US") == f"A (b{stop} c) d. e"
     assert K.masked_brackets("A b) c. d", "en_US") == "A b) c. d"
     for t in ("a (b. c! (d?)) e. f~ g", "et al. 3. x. y"):
         assert K.unmasked(K.masked(t, "en_US")).replace(" ", "") == t.replace(" ", "")
@@ -88,10 +89,16 @@ def test_masks():
 
 def test_spaced_ends():
     assert K.spaced_ends("End.", False, "en_US") == "End. "
-    assert K.spaced_ends("船。出た。3.5だ。", False, "ja_JP") == "船。 出た。 3_#PERIOD#_5だ。 "
+    assert K.spaced_ends("船。出た。3.5だ。", False, "ja_JP") == f"船。 出た。 3{K.MASKS['.']}5だ。 "
     assert K.spaced_ends("x.", False, "") == "x."
 
 
+def test_cut_numbered():
+    assert K.cut_numbered("The parts: (1) hull (ii) mast Ⅳ) sail b) oar • rope") == ["The parts: ", "~", "(1) hull ", "~", "(ii) mast", "~", " Ⅳ) sail", "~", " b) oar", "~", " • rope", "~"]
+    assert K.cut_numbered("mastⅣ) and xI) stay") == ["mastⅣ) and xI) stay"]
+    assert K.cut_numbered("(1)") == ["(1)"] and K.cut_numbered("") == [""] and K.cut_numbered("no marks") == ["no marks"]
+
+
 def test_divided_by_length():
     long = "あ" * 301
     got = K.divided_by_length([(long, 1), ("。", 1)], "ja_JP")
