@@ -149,7 +149,7 @@ def test_pieces_of_nothing_and_odd_overlaps(chain):
 def test_limits_by_script(spark):
     limits = spark.createDataFrame([("kana_han", 5, 1), ("other", 8, 2)], "script_class string, max_chars int, overlap_chars int")
     df = block_table(spark, ["abcdefgh", "abcdefghi", "あいうえお", "あいうえおか", None, ""])
-    got = {r.block_id: r.cut_at for r in pieces.split_oversized(df, limits.unionByName(limits), pieces=False).collect()}
+    got = {r.block_id: r.cut_at for r in pieces.split_oversized(df, limits.unionByName(limits)).where("piece_no = 0").collect()}
     assert got == {1: "none", 3: "none"}
     blank = limits.withColumn("overlap_chars", F.lit(None).cast("int")).withColumn("max_chars", F.when(F.col("script_class") == "other", F.col("max_chars")))
     assert {r.block_id for r in pieces.split_oversized(df, blank).collect()} == {1}
@@ -217,6 +217,53 @@ def test_look_alikes_against_brute_force(spark):
     assert normalise.look_alikes(df.limit(0)).count() == 0
 
 
+def test_prints_of_one_form_stay_apart():
+    for a, b in (("x²", "x2"), ("①", "1"), ("ﬁn", "fin"), ("Straße", "STRASSE"), ("ſo", "so"), ("σ", "ς")):
+        assert normalise.compat_form(a) == normalise.compat_form(b) and normalise.print_marks(a) != normalise.print_marks(b)
+    for a, b in (("Ａ１", "A1"), ("é", "e\u0301"), ("a\u00a0b", "a b"), ("pаx", "pax"), ("co\u00adop", "coop")):
+        assert normalise.compat_form(a) == normalise.compat_form(b) and normalise.print_marks(a) == normalise.print_marks(b)
+    # equal marks alone say nothing: the form is what groups
+    assert normalise.print_marks("abc") == normalise.print_marks("xyz") and normalise.compat_form("abc") != normalise.compat_form("xyz")
+
+
+def test_look_classes_hold_the_same_links(spark):
+    df = spark.createDataFrame([(f"r{k}", t) for k, t in enumerate(["A1", "Ａ1", "A１", "A1", "a1", "b", "b"])], "ref string, text string")
+    pairs = {tuple(r) for r in normalise.look_alikes(df).collect()}
+    assert pairs == {("r0", "r1"), ("r0", "r2"), ("r1", "r2"), ("r1", "r3"), ("r2", "r3")}
+    classes = normalise.look_classes(df.unionByName(df)).collect()
+    assert {r.ref for r in classes} == {"r0", "r1", "r2", "r3"} and len({r.look for r in classes}) == 1 and {r.n_texts for r in classes} == {3}
+    assert normalise.look_classes(df.limit(0)).count() == 0
+
+
+def test_words_of_any_length_and_more_than_the_cache_holds():
+    word = "donaudampfschifffahrtsgesellschaftskapitän"
+    assert languages.words_of(word) == [word] and len(languages.subwords("x" * 100)) > 300
+    m = languages.Model(np.random.default_rng(0).normal(size=(languages.BUCKETS, len(languages.LANGUAGES))).astype(np.float32), np.zeros(len(languages.LANGUAGES)), 1.0, 0.0)
+    letters = "abcdefghijklmnopqrst"
+    name = lambda k: "".join(letters[k // 20**j % 20] for j in range(5))
+    first = " ".join(name(k) for k in range(420_000))
+    second = " ".join(name(k) for k in range(420_000, 450_000))
+    both, alone = m.log_probs([first, second]), m.log_probs([second])
+    assert both[1][1] == alone[1][0] > 0 and np.allclose(both[0][1], alone[0][0], atol=1e-5)
+
+
+def test_long_tokens_reach_back_to_their_start(chain):
+    number = "1" * 40
+    assert chain.spans(f"Siehe abc{number}. Danach folgt mehr Text.")[0] == (0, len(f"Siehe abc{number}."))
+    many = "ab.c9." * 20_000
+    assert chain.spans(many)[-1][1] == len(many)
+
+
+def test_terms_of_dense_scripts_and_words():
+    text = "船が港を出た。" * 6
+    assert len(pieces._terms("船が港を出た。")) == 6
+    themes = "red apple pear plum, " * 12 + "steel bolt nut screw, " * 12
+    cuts = [k + 1 for k, c in enumerate(themes) if c == " "][:-1]
+    depth = pieces.term_depths(themes, cuts)
+    assert cuts[max(range(len(cuts)), key=depth.__getitem__)] == len("red apple pear plum, " * 12)
+    assert pieces.term_depths(text, []) == []
+
+
 def test_words_beyond_the_cache_count(monkeypatch):
     model = lambda: languages.Model(np.random.default_rng(1).normal(size=(languages.BUCKETS, len(languages.LANGUAGES))).astype(np.float32), np.zeros(len(languages.LANGUAGES)), 1.0, 0.0)
     texts = ["one two three four five", "", "six one seven", "eight nine ten two"]
