@@ -1,11 +1,10 @@
 """Problem 5: one form for texts that look the same.
 
-Two forms per text, computed once per distinct value of an Arrow batch:
-
-* ``compat_form``: NFKC, full case folding, blanks mapped to a space, default-ignorable characters removed,
-  look-alike letters mapped. It is the blocking key: texts that look the same always share it.
-* ``visible_form``: the same without what prints differently, so only full and half width forms are mapped
-  (not superscripts, circles, ligatures), case stays, and the result is composed (NFC). It is the exact check.
+``compat_form``, computed once per distinct value of an Arrow batch, is the form in which texts that look the same are
+equal: NFKC, full case folding, blanks mapped to a space, default-ignorable characters removed, look-alike letters
+mapped. Texts are grouped by it. As it also equates what prints differently (case, raised and circled digits,
+ligatures), ``print_marks`` lists just what the form loses of a text, and an exact check splits each group by it.
+``visible_form`` is the readable form of the same classes: it maps what cannot be seen and keeps the rest.
 
 Defined results: null texts have no row; an empty text is a text, equal in look to one of invisible characters
 only; line breaks and the number of blanks count; equal texts are no pair; repeated rows count once; texts of
@@ -73,12 +72,40 @@ def visible_form(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(first)).translate(alike))
 
 
+def _folded(text: str) -> str:
+    form = unicodedata.normalize("NFKC", text).casefold()
+    return unicodedata.normalize("NFKC", visible_form(form))
+
+
 def compat_form(text: str) -> str:
-    """NFKC with full case folding, over the visible form."""
+    """NFKC with full case folding, over the visible form: equal for all texts that look the same."""
     if text.isascii():
         return text.replace("\t", " ").lower()
-    form = unicodedata.normalize("NFKC", visible_form(text)).casefold()
-    return unicodedata.normalize("NFKC", visible_form(form))
+    return _folded(visible_form(text))
+
+
+@lru_cache(maxsize=1 << 16)
+def _mark(c: str) -> str:
+    """What the folded form loses of a character: nothing, that it is a capital, or which one it is."""
+    form = _folded(c)
+    return "." if form == c else "^" if form == c.lower() and unicodedata.normalize("NFKC", c) == c else c
+
+
+#: Marks of ASCII characters, by code.
+_ASCII_MARKS = {c: "^" if chr(c).isupper() else "." for c in range(128)}
+
+
+def print_marks(text: str) -> str:
+    """What prints differently within one compat_form: a mark for each character of the visible form."""
+    return _key(text)[1]
+
+
+def _key(text: str) -> tuple[str, str]:
+    """(compat_form, print_marks)."""
+    if text.isascii():
+        return text.replace("\t", " ").lower(), text.translate(_ASCII_MARKS)
+    v = visible_form(text)
+    return _folded(v), "".join(map(_mark, v))
 
 
 def _long(data: str, salt: bytes) -> tuple[int, int]:
@@ -93,11 +120,11 @@ def _hash_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(1).to_pylist():
             got = known.get(t)
             if got is None:
-                v = visible_form(t)
-                got = known[t] = (_long(compat_form(v), b"c")[0], *_long(v, b"v"), _long(t, b"t")[0])
+                form, marks = _key(t)
+                got = known[t] = (*_long(form, b"c"), _long(marks, b"p")[0], _long(t, b"t")[0])
             rows.append(got)
         cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["ref", "block", "look_a", "look_b", "exact"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["ref", *LOOK, "exact"])
 
 
 def text_refs(blocks: DataFrame, bundles: DataFrame, layer: str) -> DataFrame:
@@ -109,31 +136,55 @@ def text_refs(blocks: DataFrame, bundles: DataFrame, layer: str) -> DataFrame:
     )
 
 
+#: Columns that texts of one look share: the hash of their compat_form, and what tells their prints apart.
+LOOK = ("form_a", "form_b", "marks")
+#: A text with very many copies is spread over so many parts when its pairs are given their refs.
+SALTS = 16
+
+
+def _looks(texts: DataFrame) -> DataFrame:
+    """(ref, form_a, form_b, marks, exact) of the texts that share their look with a different text.
+
+    Texts leave the Python stage as four hashes. Keys with more than one distinct text are found by a map-side
+    combined aggregate, so a group holding a third of all rows costs a few partial sums.
+    """
+    keys = cut_lineage(texts.mapInArrow(_hash_forms, "ref string, form_a long, form_b long, marks long, exact long"))
+    varied = keys.groupBy(*LOOK).agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select(*LOOK)
+    return keys.join(varied, [*LOOK], "left_semi").dropDuplicates(["ref", *LOOK, "exact"])
+
+
 def look_alikes(texts: DataFrame) -> DataFrame:
     """(ref_a, ref_b) of all texts that look the same but differ.
 
-    Texts leave the Python stage as four hashes; the narrow table is checkpointed once and used three times. Keys
-    with more than one distinct text are found by a map-side combined aggregate, so a group holding a third of
-    all rows costs a few partial sums. Pairs are formed between distinct texts first and then given their refs,
-    so copies of one text are never compared with each other.
+    Pairs are formed between distinct texts first and then given their refs, so copies of one text are never compared
+    with each other; the copies of a text are salted, so that none of the joins has one key for all of them.
     """
-    look = ["block", "look_a", "look_b"]
-    keys = cut_lineage(texts.mapInArrow(_hash_forms, "ref string, block long, look_a long, look_b long, exact long"))
-    varied = (
-        keys.groupBy(*look).agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select(*look)
-    )
-    some = cut_lineage(keys.join(varied, look, "left_semi").dropDuplicates(["ref", *look, "exact"]))
-    forms = some.select(*look, "exact").dropDuplicates()
-    pairs = forms.withColumnRenamed("exact", "ea").join(forms.withColumnRenamed("exact", "eb"), look).where("ea < eb")
-    left = some.select(*look, F.col("exact").alias("ea"), F.col("ref").alias("ra"))
-    right = some.select(*look, F.col("exact").alias("eb"), F.col("ref").alias("rb"))
+    some = cut_lineage(_looks(texts))
+    forms = some.select(*LOOK, "exact").dropDuplicates()
+    pairs = forms.withColumnRenamed("exact", "ea").join(forms.withColumnRenamed("exact", "eb"), [*LOOK]).where("ea < eb")
+    salt = lambda ref, name: F.pmod(F.xxhash64(ref), F.lit(SALTS)).alias(name)
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(name)
+    left = some.select(*LOOK, F.col("exact").alias("ea"), F.col("ref").alias("ra"), salt("ref", "sa"))
+    right = some.select(*LOOK, F.col("exact").alias("eb"), F.col("ref").alias("rb"), salt("ref", "sb"))
     return (
-        pairs.join(left, [*look, "ea"])
-        .join(right, [*look, "eb"])
+        pairs.select("*", every("sa"))
+        .join(left, [*LOOK, "ea", "sa"])
+        .select("*", every("sb"))
+        .join(right, [*LOOK, "eb", "sb"])
         .select(F.least("ra", "rb").alias("ref_a"), F.greatest("ra", "rb").alias("ref_b"))
     )
 
 
+def look_classes(texts: DataFrame) -> DataFrame:
+    """(ref, look, n_texts): the compact form of the same result, one row per text that shares its look with others.
+
+    look names the class, n_texts says how many different texts it holds; its pairs are all pairs of them.
+    """
+    some = cut_lineage(_looks(texts))
+    sizes = some.groupBy(*LOOK).agg(F.countDistinct("exact").alias("n_texts"))
+    return some.join(sizes, [*LOOK]).select("ref", F.sha1(F.concat_ws("/", *LOOK)).alias("look"), "n_texts")
+
+
 def normalised_texts(texts: DataFrame) -> DataFrame:
     """(ref, visible, compat): every text in its two forms."""
 
@@ -144,8 +195,7 @@ def normalised_texts(texts: DataFrame) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 got = known.get(t)
                 if got is None:
-                    v = visible_form(t)
-                    got = known[t] = (v, compat_form(v))
+                    got = known[t] = (visible_form(t), compat_form(t))
                 out.append(got)
             cols = [pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["ref", "visible", "compat"])

@@ -19,7 +19,7 @@ def p2_found(spark, d):
 
 def p3_found(spark, d):
     blocks, limits = body_blocks(table(spark, d, "blocks")), table(spark, d, "size_limits")
-    return pieces.split_oversized(blocks, limits, pieces=False).dropDuplicates()
+    return pieces.split_oversized(blocks, limits).where("piece_no = 0").select("block_id", "cut_at").dropDuplicates()
 
 
 def p3_pieces(spark, d):
@@ -40,6 +40,10 @@ def p5_found(spark, d):
     return normalise.look_alikes(normalise.text_refs(table(spark, d, "blocks"), table(spark, d, "bundles"), "digital"))
 
 
+def p5_classes(spark, d):
+    return normalise.look_classes(normalise.text_refs(table(spark, d, "blocks"), table(spark, d, "bundles"), "digital"))
+
+
 def p5_normalised(spark, d):
     refs = normalise.text_refs(table(spark, d, "blocks"), table(spark, d, "bundles"), "digital")
     return normalise.normalised_texts(refs.dropDuplicates())
@@ -79,6 +83,6 @@ def p9_composition(spark, d):
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_normalised, p6_found, p6_paragraphs, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_classes, p5_normalised, p6_found, p6_paragraphs, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}
