@@ -2,9 +2,11 @@
 
 Boundaries have levels: blank line, sentence end, clause or word, none. Within each size window the cut goes
 to the deepest valley of lexical cohesion (similarity of the blocks of units left and right of the boundary,
-compared by their terms) among the boundaries of the best level the window offers; of clauses and words, which are
-too short to compare, to the last one. Each next piece begins overlap_chars before the cut, so the first cut
-lies behind the first overlap_chars: one within them would leave the next piece the same start and window.
+compared by their terms) among the boundaries of the best level the window offers. Blank lines and sentence ends part
+units of their own; clauses and words are too short for that, so there the blocks are a fixed number of terms on each
+side. Where no valley is deeper, as in a text of one theme or without letters, the last boundary is taken. Each next
+piece begins overlap_chars before the cut, so the first cut lies behind the first overlap_chars: one within them would
+leave the next piece the same start and window.
 
 cut_at of a text is the first level at which all segments, without blanks around them, are within the limit.
 
@@ -16,7 +18,7 @@ to half of the limit, so that every piece goes forward (a null one counts as 0);
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +33,11 @@ KANA_HAN = "[぀-ヿ㐀-鿿ｦ-ﾝ]"
 _BREAK = r"(?:\r?\n|\r(?!\n))"
 _BLANK_LINE = re.compile(rf"{_BREAK}[ \t]*{_BREAK}(?:[ \t]*{_BREAK})*")
 _CLAUSE = re.compile(r"\s+|(?<=[,;:、，；：])")
-_TERM = re.compile(r"[^\W\d_]{2,}|[぀-ヿ㐀-鿿฀-๿]")
+#: Terms are words of two letters or more; of scripts without blanks, which hide their words, single characters.
+_DENSE = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ฀-๿"
+_TERM = re.compile(rf"[{_DENSE}]|[^\W\d_{_DENSE}]{{2,}}")
 WIDTH = 3  # units on each side that a boundary's cohesion compares
+TERMS = 20  # terms on each side where units are too short
 
 
 def _segments(text: str, cuts: list[int]) -> Iterator[str]:
@@ -84,6 +89,10 @@ def valley_depths(text: str, cuts: list[int]) -> list[float]:
         for u in units[k : k + WIDTH]:
             right.update(u)
         sims.append(_similar(left, right))
+    return _depths(sims)
+
+
+def _depths(sims: list[float]) -> list[float]:
     up = sims[:]  # the highest similarity reached without a descent, to the left and to the right
     for k in range(1, len(up)):
         up[k] = max(sims[k], up[k - 1]) if sims[k - 1] >= sims[k] else sims[k]
@@ -93,6 +102,26 @@ def valley_depths(text: str, cuts: list[int]) -> list[float]:
     return [a + b - 2 * s for a, b, s in zip(up, down, sims)]
 
 
+def term_depths(text: str, cuts: list[int]) -> list[float]:
+    """The same for boundaries between short units: the blocks are the TERMS terms before and behind each."""
+    found = [(m.start(), m[0].lower()) for m in _TERM.finditer(text)]
+    starts, terms = [a for a, _ in found], [t for _, t in found]
+    sims, at, left, right = [], 0, Counter(), Counter(terms[:TERMS])
+    for c in cuts:
+        to = bisect_left(starts, c)
+        while at < to:  # the blocks slide on by one term
+            t = terms[at]
+            left[t] += 1
+            right[t] -= 1
+            if at + TERMS < len(terms):
+                right[terms[at + TERMS]] += 1
+            if at >= TERMS:
+                left[terms[at - TERMS]] -= 1
+            at += 1
+        sims.append(_similar(+left, +right))
+    return _depths(sims)
+
+
 def cut_text(text: str | None, max_chars: int, overlap: int, chain: Chain) -> tuple[str | None, list[tuple[int, int, str]]]:
     """(cut_at, [(start, end, level of the cut at the end)]); the last piece's level is ``end``."""
     if not text:
@@ -116,12 +145,9 @@ def cut_text(text: str | None, max_chars: int, overlap: int, chain: Chain) -> tu
             out.append((start, top, "none"))
             cut, start = top, top - overlap
             continue
-        if kind == "clause_or_word":
-            best = b - 1
-        else:
-            if kind not in depth:
-                depth[kind] = valley_depths(text, at[kind])
-            best = max(range(a, b), key=lambda k: (depth[kind][k], at[kind][k]))
+        if kind not in depth:
+            depth[kind] = (term_depths if kind == "clause_or_word" else valley_depths)(text, at[kind])
+        best = max(range(a, b), key=lambda k: (depth[kind][k], at[kind][k]))
         out.append((start, at[kind][best], kind))
         cut = at[kind][best]
         start = cut - overlap
@@ -143,11 +169,8 @@ def _limited(df: DataFrame, key: str, text: str, limits: DataFrame) -> DataFrame
     )
 
 
-def split_oversized(df: DataFrame, limits: DataFrame, key: str = "block_id", text: str = "text", pieces: bool = True) -> DataFrame:
-    """Pieces of every text over its limit: (key, cut_at, piece_no, piece_start, piece_end, cut_level).
-
-    With pieces=False one row (key, cut_at) per text.
-    """
+def split_oversized(df: DataFrame, limits: DataFrame, key: str = "block_id", text: str = "text") -> DataFrame:
+    """Pieces of every text over its limit: (key, cut_at, piece_no, piece_start, piece_end, cut_level)."""
     w, kind = fitted(), dict(df.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +179,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, key: str = "block_id", tex
             rows, cols = [], [[] for _ in range(5)]
             for k, (t, most, over) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 level, got = cut_text(t, most, over, chain)
-                for no, (s, e, at) in enumerate(got if pieces else [(0, 0, "")]):
+                for no, (s, e, at) in enumerate(got):
                     rows.append(k)
                     for c, v in zip(cols, (level, no, s, e, at)):
                         c.append(v)
@@ -166,5 +189,4 @@ def split_oversized(df: DataFrame, limits: DataFrame, key: str = "block_id", tex
             yield pa.RecordBatch.from_arrays([keys, *arrays], names=names)
 
     schema = f"{key} {kind}, cut_at string, piece_no int, piece_start int, piece_end int, cut_level string"
-    out = _limited(df, key, text, limits).mapInArrow(cut, schema)
-    return out if pieces else out.select(key, "cut_at")
+    return _limited(df, key, text, limits).mapInArrow(cut, schema)
