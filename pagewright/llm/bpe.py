@@ -1,11 +1,11 @@
 """Problem 7: the whole corpus as ids of a public byte-level BPE tokenizer.
 
-Pre-tokenisation runs over the code points of a whole Arrow batch at once, without regex. Each code point
-gets a class (letter, number, white space, other). Where a piece starts depends on the class of a code
-point, of its left neighbour, and on whether its white-space run goes on; the state carried along runs is a
-running maximum (an associative scan), so numpy finds all boundaries of a batch in a few passes. The slices
-between boundaries feed pair merging with a cache per distinct piece. Byte offsets of every id can be kept
-for decoding.
+Pre-tokenisation runs over the code points of a whole Arrow batch at once, without regex. Each code point becomes a
+symbol (its class, and what its right neighbours make of it), and each symbol is a transition function between the
+eight states that a piece of the pattern can be in. Functions compose associatively, so the state before every code
+point is a prefix scan of compositions: rows of a fixed width are scanned side by side, then the rows' totals, level
+by level, with one table lookup per step. Where a piece starts follows from state and symbol. The slices between
+boundaries feed pair merging with a cache per distinct piece. Byte offsets of every id can be kept for decoding.
 
 Defined results: null and empty texts give an empty list; strings of special tokens are ordinary text; texts
 of any length are encoded whole (merging uses a heap, so a long unbroken piece costs n log n); repeated rows
@@ -23,51 +23,114 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.llm.codes import EDGE, LETTER, NUMBER, OTHER, SPACE, class_table, join_codes
+from pagewright.llm.codes import EDGE, SPACE, class_table, join_codes
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_ENTRIES, CACHED_BYTES = 400_000, 48
 
 
+#: States: between pieces; within a run of letters, numbers, other signs, white space; behind a blank that belongs to
+#: what follows; within a contraction with one or two letters to go.
+CLOSED, LETTERS, NUMBERS, OTHERS, WHITE, GLUED, ONE, TWO = range(8)
+#: Symbols: code points by class, apostrophes that a contraction of one or two letters follows, white space that more of
+#: it or nothing follows, a last blank, another last white space, and the mark between texts.
+S_LETTER, S_NUMBER, S_OTHER, S_APO1, S_APO2, S_WHITE, S_BLANK, S_LAST, S_EDGE = range(9)
+#: State after each symbol, by state before.
+_NEXT = {
+    S_LETTER: {ONE: CLOSED, TWO: ONE, None: LETTERS},
+    S_NUMBER: {None: NUMBERS},
+    S_OTHER: {None: OTHERS},
+    S_APO1: {OTHERS: OTHERS, GLUED: OTHERS, None: ONE},
+    S_APO2: {OTHERS: OTHERS, GLUED: OTHERS, None: TWO},
+    S_WHITE: {None: WHITE},
+    S_BLANK: {None: GLUED},
+    S_LAST: {None: CLOSED},
+    S_EDGE: {None: CLOSED},
+}
+#: States in which a symbol goes on with the piece before it.
+_GOES_ON = {
+    S_LETTER: {LETTERS, GLUED, ONE, TWO}, S_NUMBER: {NUMBERS, GLUED}, S_OTHER: {OTHERS, GLUED}, S_APO1: {OTHERS, GLUED},
+    S_APO2: {OTHERS, GLUED}, S_WHITE: {WHITE}, S_BLANK: set(), S_LAST: set(), S_EDGE: set(),
+}
+WIDTH = 64
+
+
+@lru_cache(maxsize=1)
+def _scan_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(composition table of functions, the state each function gives from CLOSED, starts by state and symbol).
+
+    Functions are numbered: those of the symbols first, the identity next, then all that compositions reach.
+    """
+    of = [tuple(_NEXT[s].get(q, _NEXT[s][None]) for q in range(8)) for s in range(9)]
+    functions = [*of, tuple(range(8))]  # of two symbols with one function the first number stands for both
+    number = {}
+    for k, f in enumerate(functions):
+        number.setdefault(f, k)
+    k = 0
+    while k < len(functions):
+        for j in range(len(functions)):
+            for f, g in ((functions[k], functions[j]), (functions[j], functions[k])):
+                h = tuple(g[q] for q in f)
+                if h not in number:
+                    number[h] = len(functions)
+                    functions.append(h)
+        k += 1
+    table = np.array([[number[tuple(g[q] for q in f)] for g in functions] for f in functions], np.uint8)
+    assert len(functions) < 256
+    starts = np.array([[q not in _GOES_ON[s] for s in range(9)] for q in range(8)])
+    return table, np.array([f[CLOSED] for f in functions], np.uint8), starts
+
+
+IDENTITY = 9
+
+
+def scanned(f: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Inclusive prefix compositions of an array of functions."""
+    n = len(f)
+    if n <= WIDTH:
+        out = f.copy()
+        for k in range(1, n):
+            out[k] = table[out[k - 1], out[k]]
+        return out
+    rows = -(-n // WIDTH)
+    grid = np.full(rows * WIDTH, IDENTITY, np.uint8)
+    grid[:n] = f
+    cols = np.ascontiguousarray(grid.reshape(rows, WIDTH).T)
+    for k in range(1, WIDTH):
+        cols[k] = table[cols[k - 1], cols[k]]
+    before = np.concatenate([np.full(1, IDENTITY, np.uint8), scanned(cols[-1].copy(), table)[:-1]])
+    return table[before[None, :], cols].T.reshape(-1)[:n]
+
+
+def symbols(codes: np.ndarray) -> np.ndarray:
+    """The symbol of each code point: its class, and what the class or letters to its right make of it."""
+    cls = class_table()[codes]
+    nxt = np.append(cls[1:], np.uint8(EDGE))
+    out = np.choose(cls, [S_OTHER, S_LETTER, S_NUMBER, S_WHITE, S_EDGE]).astype(np.uint8)
+    last = (cls == SPACE) & (nxt != SPACE) & (nxt != EDGE)
+    out[last] = S_LAST
+    out[last & (codes == 32)] = S_BLANK
+    apo = np.flatnonzero(codes == 39)
+    if len(apo):
+        a, b = (codes[np.minimum(apo + k, len(codes) - 1)] for k in (1, 2))
+        pair = np.zeros(len(apo), bool)
+        for x, y in ("re", "ve", "ll"):
+            pair |= (a == ord(x)) & (b == ord(y))
+        out[apo[np.isin(a, [ord(c) for c in "stmd"])]] = S_APO1
+        out[apo[pair]] = S_APO2
+    return out
+
+
 def piece_starts(codes: np.ndarray) -> np.ndarray:
     """Whether a piece of the pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?other+|white`` starts at each code point.
 
     codes: texts joined by edge marks (``join_codes``); edge marks count as starts, to be skipped by the caller.
     """
-    n = len(codes)
-    cls = class_table()[codes]
-    prev = np.empty(n, np.uint8)
-    prev[0], prev[1:] = EDGE, cls[:-1]
-    nxt = np.empty(n, np.uint8)
-    nxt[-1], nxt[:-1] = EDGE, cls[1:]
-    change = cls != prev
-    white, blank = cls == SPACE, codes == 32
-    # The last blank of a white-space run belongs to the visible piece after it; another last white space of a
-    # run of two or more is a piece of its own; the rest of the run is one piece.
-    last = white & (nxt != SPACE) & (nxt != EDGE)
-    start = change | last
-    glued = np.zeros(n, bool)
-    glued[1:] = (last & blank)[:-1]
-    start &= ~glued
-    start |= cls == EDGE
-    # Contractions: an apostrophe that starts a piece and is followed by one of the fixed letter groups. Whether
-    # it starts one is local: its left neighbour is not of its class and no blank is glued to it.
-    apo = np.flatnonzero((codes == 39) & start)
-    if len(apo):
-        at = lambda k: codes[np.minimum(apo + k, n - 1)]
-        a, b = at(1), at(2)
-        one = np.isin(a, [ord(c) for c in "stmd"])
-        two = (
-            ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
-        )
-        for hit, size in ((one, 2), (two, 3)):
-            p = apo[hit]
-            start[p + 1] = False
-            if size == 3:
-                start[p + 2] = False
-            start[p + size] = True
-            # What follows the contraction starts anew, also a blank or apostrophe (already starts) or letters.
-    return start
+    table, state, starts = _scan_tables()
+    s = symbols(codes)
+    before = np.full(len(s), CLOSED, np.uint8)
+    before[1:] = state[scanned(s, table)[:-1]]
+    return starts[before, s]
 
 
 class Ranks:
