@@ -34,16 +34,17 @@ from pagewright.llm.sentences import Chain, fitted
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja", "zh", "ko", "ar", "hi", "th")
 BUCKETS, DIM, MAX_GRAM = 1 << 15, 24, 4
-#: Bound of the training sample: about this many labelled texts per language, at most twice as many in all.
-SAMPLE_PER_LANGUAGE = 250
+#: Bounds of the training sample: about this many labelled texts per language, at most twice as many in all, of at most
+#: so many characters, each of which gives so many of its sentences, chosen by hash from the whole text.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, SAMPLE_SENTENCES = 250, 20_000, 6
 #: A label is dropped at first only where the seeds speak for another language with more than this.
 DOUBT = 0.8
 #: Small samples are seen often enough for this many steps.
 LEAST_STEPS = 250
 SWITCH = 4.0  # cost of a change of language between sentences, in nats
 _DENSE = "぀-ヿ㐀-鿿฀-໿豈-﫿"
-#: Letters beside digits or over 30 in a row are codes, not words.
-_WORD = re.compile(rf"[{_DENSE}]+|(?<![\d_])(?<![^\W_{_DENSE}])[^\W\d_{_DENSE}]{{1,30}}(?![^\W{_DENSE}])")
+#: Letters beside digits are codes, not words.
+_WORD = re.compile(rf"[{_DENSE}]+|(?<![\d_])(?<![^\W_{_DENSE}])[^\W\d_{_DENSE}]++(?![^\W{_DENSE}])")
 _DENSE_RE = re.compile(f"[{_DENSE}]")
 
 
@@ -58,9 +59,13 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
 def subwords(word: str) -> tuple[int, ...]:
-    w = f"<{word[:40]}>"
+    return _subwords(word) if len(word) <= KEPT_CHARS else _subwords.__wrapped__(word)
+
+
+@lru_cache(maxsize=200_000)
+def _subwords(word: str) -> tuple[int, ...]:
+    w = f"<{word}>"
     return tuple(
         zlib.crc32(w[k : k + n].encode("utf-8", "surrogatepass")) % BUCKETS
         for n in range(1, MAX_GRAM + 1)
@@ -69,8 +74,8 @@ def subwords(word: str) -> tuple[int, ...]:
     )
 
 
-#: Words whose scores are kept; more than that and the cache starts anew.
-CACHED_WORDS = 400_000
+#: Words whose scores are kept; more than that and the cache starts anew. Longer words' subwords are made each time.
+CACHED_WORDS, KEPT_CHARS = 400_000, 64
 
 
 class Model:
@@ -185,7 +190,10 @@ def train(sample: list[tuple[str, str]], weights: dict[str, float]) -> Model:
     code = {x: k for k, x in enumerate(LANGUAGES)}
     texts, y = [], []
     for text, lang in sample:
-        for s, e in chain.spans(text)[:6]:
+        spans = chain.spans(text)
+        if len(spans) > SAMPLE_SENTENCES:
+            spans = sorted(spans, key=lambda x: zlib.crc32(text[x[0] : x[1]].encode("utf-8", "surrogatepass")))[:SAMPLE_SENTENCES]
+        for s, e in spans:
             texts.append(text[s:e])
             y.append(code[lang])
     own = [(s, code[x]) for x in LANGUAGES for s in SEEDS[x] for _ in range(2)]
@@ -217,9 +225,11 @@ def labelled_sample(df: DataFrame, text: str, label: str, key: str, per_language
     """About per_language texts of each delivered label, chosen by hash; never more than 2 * per_language * 14.
 
     Two scans without a shuffle of texts: one counts labels, the other keeps rows whose hash is below a share
-    of its label, so the collected part is bounded whatever the size of the input.
+    of its label, so the collected part is bounded whatever the size of the input. Texts of over SAMPLE_CHARS
+    characters are labelled like all others but not trained on.
     """
     lang = normal_label(label)
+    df = df.where(F.length(text).between(1, SAMPLE_CHARS))
     counts = {r[0]: r[1] for r in df.groupBy(lang.alias("x")).count().where(F.col("x").isin(*LANGUAGES)).collect()}
     if not counts:
         return []
@@ -232,7 +242,7 @@ def labelled_sample(df: DataFrame, text: str, label: str, key: str, per_language
         .limit(2 * per_language * len(LANGUAGES))
         .collect()
     )
-    return sorted({(r[0][:20_000], r[1]) for r in rows if r[0]})
+    return sorted({(r[0], r[1]) for r in rows})
 
 
 def segments_of(texts: list[str], chain: Chain, model: Model) -> list[list[tuple[int, int, str, float]]]:
