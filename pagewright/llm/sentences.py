@@ -38,6 +38,9 @@ _BRACKETS = set("）)]］】》〉")
 _VISIBLE = re.compile(rf"[^{_GAP}\x00-\x1f\x7f-\x9f]")
 _TOKEN_BREAK = re.compile(rf"[{_GAP}“”„«»\"「」『』（）()\[\]［］【】—–/,;:，；：、]")
 _GLUED = re.compile(r"\w*(?:[^\W\d_]{4,}[.?!](?=[^\W\d_a-zß-ÿ]|\d{1,3}$)|[a-zß-ÿ]{2,}[.?!](?=[A-ZÀ-Þ][a-zß-ÿ]))")
+_WORD_RUN = re.compile(r"\w*")
+#: Longer than any abbreviation.
+SHORT_TOKEN = 64
 _LIST = re.compile(rf"\d{{1,3}}[.)][{_GAP}]+(\w)")
 _SPACED = re.compile(r"(?:^|(?<=[\s(]))(?:" + "|".join(re.escape(a).replace(r"\ ", r"[\s  ]?") for a in SPACED_ABBREVIATIONS) + ")", re.I)
 _KIND = {**dict.fromkeys(".．", "."), **dict.fromkeys("…", "..."), **dict.fromkeys("!?！？؟‼⁇⁈⁉", "!"), **dict.fromkeys("。｡", "cjk"), **dict.fromkeys("।॥۔", "danda")}
@@ -161,6 +164,53 @@ def _skip(text: str, k: int, n: int) -> int:
     return m.start() if m else n
 
 
+class _Tokens:
+    """The token before each candidate of a text, asked for from left to right.
+
+    A token reaches back to the last blank, bracket or comma, however far that is. Each character is looked at a fixed
+    number of times: the class of a long token, which no abbreviation is, is kept up as it grows.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.seen, self.begin = text, 0, 0
+        self.word_of = self.word_end = -1
+        self.of = self.upto = -1
+
+    def start(self, i: int) -> int:
+        """Where the token that ends before i begins."""
+        text, b = self.text, i
+        while b > self.seen and not _TOKEN_BREAK.match(text[b - 1]):
+            b -= 1
+        if b > self.seen or not self.seen:
+            self.begin = b
+        self.seen, b = i, self.begin
+        if self.word_of != b:
+            self.word_of, self.word_end = b, _WORD_RUN.match(text, b).end()
+        e = self.word_end
+        if e < i and _GLUED.match(text[max(b, e - 4) : min(i, e + 6)]):
+            return e + 1  # the word before ends a sentence that no blank parts from this token
+        return b
+
+    def kind(self, b: int, i: int) -> str:
+        text = self.text
+        if i - b <= SHORT_TOKEN:
+            return _token_class(text[b:i])
+        if self.of != b:
+            self.of = self.upto = self.part = b
+            self.digits, self.brief, self.dots = True, True, 0
+        if self.digits and not text[self.upto : i].isdigit():
+            self.digits = False
+        while (dot := text.find(".", self.upto, i)) >= 0:
+            self.brief = self.brief and dot - self.part <= 2
+            self.part, self.upto, self.dots = dot + 1, dot + 1, self.dots + 1
+        self.upto = i
+        if self.digits:
+            return "year"
+        if self.dots > (text[i - 1] == "."):
+            return "dotted" if self.brief and i - self.part <= 2 else "inner"
+        return "digits" if text[i - 1].isdigit() else "word"
+
+
 def candidates(text: str) -> list[tuple[int, int, tuple, str]]:
     """(end of the sentence if it ends here, where the next would start, signature, link) of every open position.
 
@@ -171,6 +221,7 @@ def candidates(text: str) -> list[tuple[int, int, tuple, str]]:
     pairs = _pairs(text) if _PAIRED.search(text) else []
     p, last = 0, _skip(text, 0, n)
     spaced: list[tuple[int, int]] | None = None
+    tokens = _Tokens(text)
     for m in _RUN.finditer(text):
         i, j = m.span()
         run = m[0]
@@ -206,14 +257,8 @@ def candidates(text: str) -> list[tuple[int, int, tuple, str]]:
                 nxt = "C"
             end = i
         else:
-            b = i
-            while b > 0 and i - b < 24 and not _TOKEN_BREAK.match(text[b - 1]):
-                b -= 1
-            glued = _GLUED.match(text[b:i])
-            if glued:  # the word before ends a sentence that no blank parts from this token
-                b += glued.end()
-            token = text[b:i]
-            tok, start = (_token_class(token) if kind == "." else "-"), b
+            b = tokens.start(i)
+            tok, start = (tokens.kind(b, i) if kind == "." else "-"), b
             if kind == "." and i - b <= 3:
                 if spaced is None:
                     spaced = [x.span() for x in _SPACED.finditer(text)]
