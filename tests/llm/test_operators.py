@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from collections import Counter
 
@@ -344,12 +345,60 @@ def test_page_numbers(text, number):
     assert ocr.is_number(text) == number
 
 
-def test_viterbi_prefers_seen_pairs():
-    states = [
-        {"idx": 1, "reading": "sea", "score": 1.0, "nl": None, "nr": 50}, {"idx": 1, "reading": "tea", "score": 1.2, "nl": None, "nr": None},
-        {"idx": 4, "reading": "x", "score": 0.0, "nl": 1, "nr": None},
-    ]
-    assert ocr.viterbi(states) == [(1, "sea"), (4, "x")]
+def states(word, *others, own=0.0, idx=0, before=None, after=None):
+    return {"idx": idx, "pos": 10 * idx, "word": word, "before": before, "after": after, "states": [{"reading": r, "score": x} for r, x in (*others, (word, own))]}
+
+
+def test_viterbi_decides_by_the_whole_line():
+    # without context the word as read stays or goes by its score alone
+    assert ocr.viterbi([states("tea", ("sea", -1.0))], {}) == []
+    assert ocr.viterbi([states("thc", ("the", 1.0), own=-3.9)], {}) == [(0, "the", "thc")]
+    # pairs on either side turn a frequent word into another, and keep one
+    assert ocr.viterbi([states("tea", ("sea", -1.0), before="the", after="wind")], {("the", "sea"): 30, ("sea", "wind"): 30}) == [(0, "sea", "tea")]
+    assert ocr.viterbi([states("tea", ("sea", 1.0), after="cup")], {("tea", "cup"): 30}) == []
+    # a pair as read stands in this very line: that place alone says nothing
+    assert ocr.viterbi([states("tea", ("sea", 0.5), after="cup")], {("tea", "cup"): 1}) == [(0, "sea", "tea")]
+    # two neighbours decide together
+    two = [states("tbe", ("the", -0.5), own=0.0), states("scan", ("sean", 0.1), own=0.0, idx=1)]
+    assert ocr.viterbi(two, {("the", "scan"): 40}) == [(0, "the", "tbe")]
+    # a mark behind a word may be a letter of it
+    shout = [states("wil", ("wil", -9.0), own=-3.9), states("wil!", ("will", 0.5), own=-3.9)]
+    assert ocr.viterbi(shout, {}) == [(0, "will", "wil!")]
+    assert ocr.asked_pairs(two) == {(x, y) for x in ("tbe", "the") for y in ("scan", "sean")}
+
+
+def test_channel_has_no_bound_of_places_or_length():
+    assert ocr.channel("committee", "c0rnrnittcc") is not None and ocr.fold("committee") == ocr.fold("c0rnrnittcc")
+    long = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    bad = long.replace("m", "rn").replace("e", "c").replace("d", "cl")
+    assert len(bad) > 80 and ocr.channel(long, bad) < 10 * math.log(ocr.P_CONFUSED) and ocr.channel(long, long) == 0.0
+    assert ocr.channel("cat", "dog") is None and ocr.channel("cat", "cats") is None
+    rnd = random.Random(1)
+    for _ in range(300):  # whatever is misread, the form stays
+        word = "".join(rnd.choice("abcdefghilmnoqrstuvwyzBDEGIOQSZé") for _ in range(12))
+        read = "".join(rnd.choice([r for t, r in ocr.CONFUSIONS if t == c] or [c]) if rnd.random() < 0.5 else c for c in word)
+        assert ocr.fold(word) == ocr.fold(read) and ocr.channel(word, read) is not None
+
+
+def test_fold_as_a_column(spark):
+    words = ["committee", "c0rnrnittcc", "", "Glück", "wvhbd6é"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", ocr.folded(F.col("w")).alias("f"))
+    assert {r.w: r.f for r in df.collect()} == {w: ocr.fold(w) for w in words}
+
+
+def test_long_words_and_long_heads_are_repaired(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitänswitwe"
+    head = "Ein sehr langer Kolumnentitel " * 4 + "Ende"
+    texts = []
+    for _ in range(8):
+        texts += [head, f"Die {long} kam wieder an Bord und ging.", "Das alte committee fuhr am Abend weiter flussab.", "Am Ufer standen viele Leute und winkten."]
+    texts[5] = f"Die {long.replace('m', 'rn')} kam wieder an Bord und ging."
+    texts[10] = texts[10].replace("committee", "c0rnrnittcc")  # five places
+    rows = [(k, 1, k // 4 + 1, k // 4 + 1, k, "//Document/P", t, 12.0, 0.0, 0.0, 1.0, 1.0, None, "scan", "clash", "clash", "clash", 7) for k, t in enumerate(texts)]
+    bundles = spark.createDataFrame([], "bundle_id long, doc_id long, layer string, payload string")
+    got = {(r.ref, r.noise_kind): r.repaired for r in ocr.Repairs(spark.createDataFrame(rows, BLOCK), bundles).found().collect()}
+    assert got[("block:5", "ocr")] == long and got[("block:10", "ocr")] == "committee"
+    assert {ref for ref, kind in got if kind == "furniture"} == {f"block:{k}" for k in range(0, 32, 4)}
 
 
 # --- p8 ---------------------------------------------------------------------------------------------------------
