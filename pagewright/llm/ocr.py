@@ -8,31 +8,39 @@ line break). Three steps, all on tables keyed by ref:
    pages, counted over the whole corpus.
 2. *Broken words.* A fragment with a hyphen at a line's end and the first word of the next line that is no
    furniture are one word: joined, joined with its own hyphen, or not broken at all (``pre- and post-``),
-   whichever form the corpus counts favour.
-3. *Misread words.* The channel gives each word the words it may have been, through character confusions with
-   their probabilities; corpus counts give the prior; where several candidates remain, Viterbi over the line's
-   words chooses by bigram counts.
-
-Counts cover the whole corpus and are kept as tables. Candidates are made once per distinct word, joined with
-counts, and only words that have a better reading are joined back to their occurrences. Lines meet their next
-line in groups of a few pages, so a document that holds a third of all rows is many groups; the last line of a
-group takes the first word of the next group from a table of one row per group.
+   whichever form the channel and the corpus counts favour.
+3. *Misread words.* The channel gives each word the words it may have been, through character confusions with their
+   probabilities; corpus counts give the prior. The word as read is one of them: its prior is its count as a true
+   word, that is, less the misreadings of more frequent words that it holds. Viterbi over each line's words decides,
+   with counts of word pairs.
+
+The candidates of a word are found by a form that no misreading changes: ``fold`` breaks every glyph into strokes such
+that a glyph and what it is read as have the same ones (``m`` and ``rn``, ``d`` and ``cl``). Words meet the vocabulary in a
+join on that form, whatever their length and however many places are misread, and an alignment of the two gives the
+channel's probability.
+
+Counts cover the whole corpus, digital texts too, and are kept as tables; only fragments of broken words are not
+counted. Candidates are made once per distinct word. A reading that no neighbours could make the better one (pairs
+weigh ``PAIR_WEIGHT`` at most) is left out before decoding, which changes no result. Only words that are still open
+are looked up in the lines: a bit table of fixed size tells most others apart, the join that follows all of them.
+Lines meet their next line in groups of a few pages, so a document that holds a third of all rows is many groups; the
+last line of a group takes the first word of the next group from a table of one row per group.
 
 Defined results: null, empty and blank texts have no row and are no next line; repeated rows count once; lines
 without ord are inside their page, before its others, and lines without a page stand before all pages; a broken
-word whose continuation is missing (end of document or element) has no row; words of any length are handled, but
-channels of more than two misread places in a word are not tried, nor words of over 40 characters.
+word whose continuation is missing (end of document or element) has no row; words and lines of any length are handled.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +65,6 @@ PAGES_PER_GROUP = 16
 _EDGE = ".,;:!?()[]{}\"“”„‟«»‹›…‘‚<>*•–—/\\"
 _FRAGMENT = re.compile(rf"(\S*\w)[{HYPHENS}][ \t ]*$")
 _FIRST = re.compile(r"\s*(\S+)")
-_WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 _N = r"[0-9lIO|oSB!]{1,4}"
 _NUMBER = re.compile(
@@ -72,7 +79,7 @@ _FOLD = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("vv",
 def is_number(text: str) -> bool:
     """Whether a whole line is a page number in one of its usual dresses, misread digits included."""
     t = text.strip()
-    if len(t) > 24 or not t:
+    if not t:
         return False
     return bool(_NUMBER.match(t) or (_BARE.match(t) and (any(c.isdigit() for c in t) or not any(c in "o" for c in t))))
 
@@ -88,7 +95,7 @@ def skeleton(text: str) -> int:
 
 def header_shaped(text: str) -> bool:
     t = text.strip()
-    return 3 <= len(t) <= 80 and t[-1] not in ".,;:!?" + HYPHENS and not (t[0].islower() and not t[0].isdigit())
+    return len(t) >= 3 and t[-1] not in ".,;:!?" + HYPHENS and not (t[0].islower() and not t[0].isdigit())
 
 
 LINES = (
@@ -123,7 +130,7 @@ def block_lines(blocks: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for bid, doc, page_id, o, text, edge in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append((f"block:{bid}", 0, doc, page_id, o, 0, text, edge, edge and is_number(text), edge and header_shaped(text), skeleton(text) if len(text) <= 80 else 0, None))
+                rows.append((f"block:{bid}", 0, doc, page_id, o, 0, text, edge, edge and is_number(text), edge and header_shaped(text), skeleton(text), None))
             yield _emit(rows, schema)
 
     return marked.select("block_id", "doc_id", "page_id", "ord", "text", "edge").mapInArrow(shapes, LINES)
@@ -150,7 +157,7 @@ def element_lines(bundles: DataFrame) -> DataFrame:
                         after = next((x for x in lines[no + 1 :] if x.strip()), None)
                         nxt = _FIRST.match(after)[1] if after else None
                         if line.strip():
-                            rows.append((ref, no, None, n[2], no, start, line, at_edge, at_edge and is_number(line), at_edge and header_shaped(line), skeleton(line) if len(line) <= 80 else 0, nxt))
+                            rows.append((ref, no, None, n[2], no, start, line, at_edge, at_edge and is_number(line), at_edge and header_shaped(line), skeleton(line), nxt))
                         start += len(line) + 1
                 if len(rows) > 20_000:
                     yield _emit(rows, schema)
@@ -163,7 +170,7 @@ def element_lines(bundles: DataFrame) -> DataFrame:
 
 def _stands_alone(node: tuple) -> bool:
     text, path = (node[4] or "").strip(), node[3] or ""
-    return bool(text) and "\n" not in text and len(text) <= 80 and not re.search(r"/(Title|Table|Figure|H\d?|L|LI|Lbl|TOCI?|Caption)(\[\d+\])?(/|$)", path)
+    return "\n" not in text and (header_shaped(text) or is_number(text)) and not re.search(r"/(Title|Table|Figure|H\d?|L|LI|Lbl|TOCI?|Caption)(\[\d+\])?(/|$)", path)
 
 
 def _page_rims(tops: list[tuple]) -> set[str]:
@@ -203,47 +210,203 @@ def furniture(lines: DataFrame) -> DataFrame:
     return edge.where("number").select("ref").unionByName(headers).dropDuplicates()
 
 
-def counted_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over the words inside lines: the first and last word of a line may be fragments and are left out."""
-    line = F.explode(F.split("text", r"\n")).alias("line")
-    words = F.split(F.trim(F.col("line")), r"[\s  ]+")
-    inner = F.expr("slice(words, 2, greatest(size(words) - 2, 0))")
-    strip = r'^[.,;:!?()\[\]{}"“”„‟«»‹›…‘‚<>*•–—/\\]+|[.,;:!?()\[\]{}"“”„‟«»‹›…‘‚’<>*•–—/\\]+$'
-    return (
-        texts.select(line)
-        .select(words.alias("words"))
-        .select(F.explode(inner).alias("raw"))
-        .groupBy("raw")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.regexp_replace("raw", strip, "").alias("word"), "n")
-        .where(r"word rlike '\\p{L}'")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-    )
+def element_texts(bundles: DataFrame) -> DataFrame:
+    """(text) of all elements of the bundles that were not scanned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tops = filter(None, map(parse_payload, b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([n[4] for top in tops for n in walk(top) if n[0] == "element" and n[4]], pa.string())], names=["text"])
 
+    other = bundles.where((F.coalesce("layer", F.lit("")) != "scan") & F.col("payload").isNotNull()).dropDuplicates(["bundle_id", "payload"])
+    return other.select("payload").mapInArrow(run, "text string")
 
-def readings(word: str) -> list[tuple[str, float]]:
-    """(what it may have been, log probability of the channel), at most two misread places."""
-    if len(word) > 40:
-        return []
-    sites = []
+
+COUNTS = "a string, b string, n long, scanned boolean"
+#: Distinct words and pairs that a task counts before it hands them on.
+COUNTED = 400_000
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(a, b, n, scanned): how often each word (b null) and each pair of neighbours stands in the texts.
+
+    texts: (text, cont, broken, scanned); the first word of a text that is cont and the last of one that is broken are
+    fragments and count for nothing, as within a text a word with a hyphen at its line's end and the one after it. Tasks
+    count their own texts, so what is shuffled is distinct words and pairs. A scanned word before an exclamation mark,
+    which may be a misread letter, also stands with it, and n of that row is 0.
+    """
+    schema = _schema(COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        pairs: Counter = Counter()
+        core: dict[str, str] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = []
+            for scanned, of in words.items():
+                named: Counter = Counter()
+                for raw, n in of.items():
+                    named[core[raw]] += n
+                    if scanned and (w := _shouted(raw)):
+                        named[w] += 0
+                out += [(w, None, n, scanned) for w, n in named.items() if w]
+                of.clear()
+            out += [(a, b, n, False) for (a, b), n in pairs.items() if a and b]
+            pairs.clear()
+            core.clear()
+            return _emit(out, schema)
+
+        for batch in batches:
+            for text, cont, broken, scanned in zip(*(c.to_pylist() for c in batch.columns)):
+                for line in text.split("\n"):
+                    raw = line.split()
+                    if cont and raw:
+                        raw = raw[1:]
+                    cont = bool(raw) and raw[-1][-1] in HYPHENS and len(raw[-1]) > 1
+                    if raw and (cont or broken):
+                        raw = raw[:-1]
+                    for w in raw:
+                        if w not in core:
+                            core[w] = _core(w)[1]
+                    words[scanned].update(raw)
+                    cores = [core[w] for w in raw]
+                    pairs.update(zip(cores, cores[1:]))
+            if len(pairs) + len(core) > COUNTED:
+                yield rows()
+        yield rows()
+
+    return texts.select("text", "cont", "broken", "scanned").mapInArrow(run, COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("scanned").alias("scanned"))
+
+
+def _shouted(raw: str) -> str:
+    """The word with the exclamation mark behind it, which may be a misread letter; empty where there is none."""
+    skip, w = _core(raw)
+    return w + "!" if len(w) > 1 and raw[skip + len(w) :][:1] == "!" else ""
+
+
+def _strokes() -> dict[str, str]:
+    """What fold makes of each glyph: one sign per class of glyphs read as each other, in place of a glyph that is read
+    as two the signs of both."""
+    classes: dict[str, set[str]] = {}
     for true, read in CONFUSIONS:
-        k = word.find(read)
-        while k >= 0:
-            sites.append((k, k + len(read), true, math.log(P_RARE if (true, read) in RARE else P_CONFUSED)))
-            k = word.find(read, k + 1)
-    out: dict[str, float] = {}
-    for picks in (*((s,) for s in sites), *combinations(sites, 2)):
-        picks = sorted(picks)
-        if len(picks) == 2 and picks[0][1] > picks[1][0]:
-            continue
-        v, p = word, 0.0
-        for a, b, true, lp in reversed(picks):
-            v = v[:a] + true + v[b:]
-            p += lp
-        if v != word and p > out.get(v, -99.0) and all(c.isalpha() or c in "'’-‐·" for c in v):
-            out[v] = p
-    return list(out.items())
+        if len(read) == 1:
+            both = classes.get(true, {true}) | classes.get(read, {read})
+            classes.update(dict.fromkeys(both, both))
+    split = {true: read for true, read in CONFUSIONS if len(read) > 1}
+    out: dict[str, str] = {}
+
+    def strokes(c: str) -> str:
+        alike = classes.get(c, {c})
+        parts = [split[x] for x in sorted(alike) if x in split]
+        assert len(parts) < 2, "glyphs that are read in two different ways would need strokes in common"
+        return "".join(map(strokes, parts[0])) if parts else min(alike)
+
+    for c in {c for pair in CONFUSIONS for glyphs in pair for c in glyphs} | set(split):
+        out[c] = strokes(c)
+    return out
+
+
+STROKES = _strokes()
+
+
+def fold(word: str) -> str:
+    """The form that no misreading of the channel changes."""
+    return "".join(STROKES.get(c, c) for c in word)
+
+
+def folded(c):
+    """The same as a column."""
+    long = {g: x for g, x in STROKES.items() if len(x) > 1}
+    marks = {g: chr(0xE000 + k) for k, g in enumerate(sorted(long))}  # so that no sign is replaced twice
+    singles = {g: x for g, x in STROKES.items() if len(x) == 1 and x != g} | marks
+    out = F.translate(c, "".join(singles), "".join(singles.values()))
+    for g, mark in marks.items():
+        out = F.replace(out, F.lit(mark), F.lit(long[g]))
+    return out
+
+
+_READ_AS: dict[str, list[tuple[str, float]]] = defaultdict(list)
+for _true, _read in CONFUSIONS:
+    _READ_AS[_true].append((_read, math.log(P_RARE if (_true, _read) in RARE else P_CONFUSED)))
+
+
+def channel(true: str, read: str) -> float | None:
+    """Log probability that a word is read as another, by the best alignment; None if the channel cannot do so."""
+    at = {0: 0.0}  # what of the word as read is explained, and how well
+    for c in true:
+        then: dict[int, float] = {}
+        for j, p in at.items():
+            if read.startswith(c, j) and p > then.get(j + 1, -math.inf):
+                then[j + 1] = p
+            for r, lp in _READ_AS.get(c, ()):
+                if read.startswith(r, j) and p + lp > then.get(j + len(r), -math.inf):
+                    then[j + len(r)] = p + lp
+        at = then
+        if not at:
+            return None
+    return at.get(len(read))
+
+
+def lexicon(vocabulary: DataFrame) -> DataFrame:
+    """(reading, form, prior, late): the words that a text may hold, with those that differ from them in case only.
+
+    A capitalised or upper-case word draws on the counts of the others; late ones only mend broken words.
+    """
+    w = F.col("word")
+    cap = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(F.lower(w), 2, 1 << 30))
+    is_cap, is_low = (w == cap) & (w != F.lower(w)), w == F.lower(w)
+    row = lambda r, share, late=False: F.struct(r.alias("reading"), (F.col("n") * share).alias("prior"), F.lit(late).alias("late"))
+    forms = F.array(
+        row(w, 1.0),
+        F.when(is_low & (cap != w), row(cap, 0.1)),
+        F.when((is_low | is_cap) & (F.length(w) > 2) & (F.upper(w) != w), row(F.upper(w), 0.05)),
+        F.when(is_cap, row(F.lower(w), 0.018, True)),
+    )
+    words = vocabulary.where(F.col("word").rlike(r"^[\p{L}'’‐·-]*[\p{L}'’]$") & (F.col("n") > 0))
+    each = words.select(F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return each.groupBy("reading").agg(F.sum("prior").alias("prior"), F.min("late").alias("late")).withColumn("form", folded(F.col("reading")))
+
+
+def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, reading, channel, prior, late) of all words of the lexicon that each distinct word may have been, itself among them."""
+    pairs = words.withColumn("form", folded(F.col("word"))).join(lexicon(vocabulary), "form").select("word", "reading", "prior", "late")
+    schema = _schema("word string, reading string, channel double, prior double, late boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for w, v, prior, late in zip(*(c.to_pylist() for c in b.columns)):
+                p = 0.0 if w == v else channel(v, w)
+                if p is not None:
+                    rows.append((w, v, p, prior, late))
+            yield _emit(rows, schema)
+
+    return pairs.mapInArrow(run, "word string, reading string, channel double, prior double, late boolean")
+
+
+#: Most that a pair of neighbours weighs, in nats: a pair seen n times weighs log(1 + n), up to this.
+PAIR_WEIGHT = 3.0
+#: Count of a word as a true one that it has in any case.
+LEAST_COUNT = 0.02
+#: How many times as many misreadings as expected a word's count may hold.
+MARGIN = 3.0
+#: Log prior of a word with digits or signs in it.
+ODD = -60.0
+
+
+def open_words(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, states array<struct<reading, score>>) of the words that may have been another; the word as read is a state."""
+    other = found.where("not late and reading <> word and prior >= 1").withColumn("score", F.log("prior") + F.col("channel"))
+    per = other.groupBy("word").agg(F.max("score").alias("best"), F.collect_list(F.struct("reading", "score")).alias("states"))
+    plain = F.when(F.col("word").endswith("!"), F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
+    own = vocabulary.select(F.col("word").alias("plain"), "n")
+    per = per.withColumn("plain", plain).join(own, "plain", "left")
+    true = F.greatest(F.coalesce("n", F.lit(0)) - 1 - MARGIN * F.exp("best"), F.lit(LEAST_COUNT))
+    own_score = F.when(F.col("plain").rlike(r"[0-9|+@!]"), F.lit(ODD)).otherwise(F.log(true))
+    per = per.withColumn("own", own_score).where(F.col("best") >= F.col("own") - 2 * PAIR_WEIGHT)
+    kept = F.filter("states", lambda x: x["score"] >= F.col("own") - 2 * PAIR_WEIGHT)
+    return per.select("word", F.concat(kept, F.array(F.struct(F.col("word").alias("reading"), F.col("own").alias("score")))).alias("states"))
 
 
 def _core(raw: str) -> tuple[int, str]:
@@ -256,83 +419,70 @@ def _core(raw: str) -> tuple[int, str]:
     return a, raw[a:b]
 
 
-def _wordlike(w: str) -> bool:
+def wordlike(w):
     """Letters outweigh digits and signs; codes, addresses and numbers are no words."""
-    letters = sum(c.isalpha() for c in w)
-    return letters >= 1 and letters * 2 >= len(w) - w.count("|") and not re.search(r"\d{3}|@.*\.|//", w)
+    letters = F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
+    return (letters >= 1) & (letters * 2 >= F.length(F.replace(w, F.lit("|"), F.lit("")))) & ~w.rlike(r"\d{3}|@.*\.|//")
 
 
-_SUSPECT = sorted({read for _, read in CONFUSIONS}, key=len)
+SUSPECT = "|".join(sorted({re.escape(read) for _, read in CONFUSIONS}))
 TOKENS = "ref string, line int, idx int, pos int, word string, before string, after string"
 BREAKS = "ref string, line int, pos int, lhs string, rhs string"
 
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """Words that the channel could have changed, with the words beside them."""
-    schema = _schema(TOKENS)
+#: Bits of the table that tells which words may be open; 2 MB, whatever the corpus.
+BITS = 1 << 24
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for ref, line, start, text, broken, cont in zip(*(c.to_pylist() for c in b.columns)):
-                found = [(m.start(), *_core(m[0]), m[0]) for m in _WORD.finditer(text)]
-                last = len(found) - 1
-                for k, (at, skip, w, raw) in enumerate(found):
-                    if not w or (k == 0 and cont) or (k == last and broken) or not any(s in w for s in _SUSPECT) and "!" not in raw:
-                        continue
-                    before = found[k - 1][2] if k else None
-                    after = found[k + 1][2] if k < last else None
-                    if _wordlike(w):
-                        rows.append((ref, line, k, start + at + skip, w, before, after))
-                    tail = raw[skip + len(w) :]
-                    if tail[:1] == "!" and len(w) > 1:
-                        rows.append((ref, line, k, start + at + skip, w + "!", before, after))
-            yield _emit(rows, schema)
 
-    return lines.select("ref", "line", "start", "text", "broken", "cont").mapInArrow(run, TOKENS)
+def bit_table(words: DataFrame) -> bytes:
+    """A table of BITS bits with the bit of every word set: at most BITS / 32 rows reach the driver."""
+    at = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BITS))
+    mask = F.expr("shiftleft(1L, cast(at % 32 as int))")
+    rows = words.select(at.alias("at")).groupBy(F.expr("at div 32").alias("k")).agg(F.bit_or(mask).alias("mask")).collect()
+    out = np.zeros(BITS // 32, np.uint32)
+    for k, m in rows:
+        out[k] = m
+    return out.tobytes()
 
 
-def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, choices array<struct<reading, score>>) of the distinct words that have a better reading."""
-    schema = _schema("word string, reading string, key string, channel double, share double")
+def tokens(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(TOKENS) of the words among ``words``, with the words beside them. A few others may be among them."""
+    schema = _schema(TOKENS)
+    table = lines.sparkSession.sparkContext.broadcast(bit_table(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table.value, np.uint32)
+        known: dict[str, tuple[int, str, tuple[str, ...]]] = {}
+
+        def is_in(w: str) -> bool:
+            k = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS
+            return bool(bits[k >> 5] >> (k & 31) & 1)
+
+        def look(raw: str) -> tuple[int, str, tuple[str, ...]]:
+            """(where the core begins, the core, the forms of it that are asked for) of a run of visible characters."""
+            got = known.get(raw)
+            if got is None:
+                if len(known) > COUNTED:
+                    known.clear()
+                skip, w = _core(raw)
+                got = known[raw] = (skip, w, tuple(x for x in (w, _shouted(raw)) if x and is_in(x)))
+            return got
+
         for b in batches:
             rows = []
-            for w in b.column(0).to_pylist():
-                for v, p in readings(w):
-                    rows.append((w, v, v, p, 1.0))
-                    if v[:1].isupper() and v[1:].islower():
-                        rows.append((w, v, v.lower(), p, 0.1))
-                    if v.isupper() and len(v) > 2:
-                        rows.append((w, v, v.lower(), p, 0.05))
-                        rows.append((w, v, v.capitalize(), p, 0.05))
-                if len(rows) > 50_000:
-                    yield _emit(rows, schema)
-                    rows = []
+            for ref, line, start, text, broken, cont in zip(*(c.to_pylist() for c in b.columns)):
+                raws = text.split()
+                found = [look(raw) for raw in raws]
+                last, at = len(raws) - 1, 0
+                for k, (skip, _, asked) in enumerate(found):
+                    at = text.index(raws[k], at)
+                    if asked and not (k == 0 and cont) and not (k == last and broken):
+                        before, after = (found[k - 1][1] if k else None), (found[k + 1][1] if k < last else None)
+                        rows += [(ref, line, k, start + at + skip, w, before, after) for w in asked]
+                    at += len(raws[k])
             yield _emit(rows, schema)
 
-    made = words.select("word").mapInArrow(run, "word string, reading string, key string, channel double, share double")
-    weighed = (
-        made.join(vocabulary.withColumnRenamed("word", "key"), "key")
-        .groupBy("word", "reading", "channel")
-        .agg(F.sum(F.col("n") * F.col("share")).alias("prior"))
-    )
-    own = vocabulary.select("word", F.col("n").alias("own"))
-    odd = F.col("word").rlike(r"[0-9|+@!]")
-    expected = F.col("prior") * F.exp("channel")
-    # A word of letters only may be a true one: it is misread if its own count is what misreading would give.
-    better = odd | ((expected * 4 >= F.coalesce("own", F.lit(0)) - 1) & (expected >= 0.02))
-    return (
-        weighed.join(own, "word", "left")
-        .where(better & (F.col("prior") >= 1))
-        .groupBy("word")
-        .agg(
-            F.slice(
-                F.sort_array(F.collect_list(F.struct((F.log("prior") + F.col("channel")).alias("score"), "reading")), asc=False), 1, 4
-            ).alias("choices")
-        )
-    )
+    return lines.select("ref", "line", "start", "text", "broken", "cont").mapInArrow(run, TOKENS)
 
 
 def linked_lines(lines: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -390,100 +540,127 @@ def broken_words(lines: DataFrame) -> DataFrame:
     return lines.where("broken").select("ref", "line", "start", "text", "next_word").mapInArrow(run, BREAKS)
 
 
-def mended(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(lhs, rhs, repaired) for each distinct broken pair; repaired is null where the word is not broken."""
+def broken_forms(breaks: DataFrame) -> DataFrame:
+    """(lhs, rhs, form) of each distinct broken pair: joined, and joined with its own hyphen."""
     pairs = breaks.select("lhs", "rhs").dropDuplicates()
-    schema = "lhs string, rhs string, form string, kind string, channel double, key string"
+    joined, own = F.concat("lhs", "rhs"), F.concat("lhs", F.lit("-"), "rhs")
+    return pairs.select("lhs", "rhs", F.explode(F.array(joined, own)).alias("form"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _schema(schema)
-        for b in batches:
-            rows = []
-            for lhs, rhs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                joined, own = lhs + rhs, f"{lhs}-{rhs}"
-                rows.append((lhs, rhs, None, "hang", 0.0, f"{lhs}-"))
-                rows.append((lhs, rhs, joined, "raw", 0.0, joined))
-                for form in (joined, own):
-                    options = [(form, 0.0), *readings(form)] if form == joined or len(form) <= 30 else [(form, 0.0)]
-                    for v, p in options:
-                        rows.append((lhs, rhs, v, "join", p, v))
-                        if v[:1].isupper() and v[1:].islower():
-                            rows.append((lhs, rhs, v, "join", p - 2.3, v.lower()))
-                        elif v.islower():
-                            rows.append((lhs, rhs, v, "join", p - 4.0, v.capitalize()))
-            yield _emit(rows, s)
-
-    forms = pairs.mapInArrow(run, schema).join(vocabulary.withColumnRenamed("word", "key"), "key", "left")
-    # The joined form stands without any count as a last resort; a hanging hyphen needs to be seen inside lines.
-    score = F.when(F.col("n").isNotNull(), F.log("n") + F.col("channel") + F.when(F.col("kind") == "hang", 1.0).otherwise(0.0))
-    scored = forms.withColumn("score", F.when(F.col("kind") == "raw", F.coalesce(score, F.lit(-50.0))).otherwise(score))
-    best = scored.where("score is not null").groupBy("lhs", "rhs").agg(F.max_by("form", F.struct("score", "form")).alias("repaired"))
-    return best
+
+def mended(forms: DataFrame, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(lhs, rhs, repaired) for each distinct broken pair; repaired is null where the word is not broken.
+
+    The joined form stands without any count as a last resort; a hanging hyphen needs to be seen inside lines.
+    """
+    read = forms.join(found.withColumnRenamed("word", "form"), "form")
+    read = read.select("lhs", "rhs", F.col("reading").alias("repaired"), (F.log("prior") + F.col("channel")).alias("score"))
+    pairs = forms.select("lhs", "rhs").dropDuplicates()
+    raw = pairs.select("lhs", "rhs", F.concat("lhs", "rhs").alias("repaired"), F.lit(-50.0).alias("score"))
+    hang = pairs.withColumn("word", F.concat("lhs", F.lit("-"))).join(vocabulary.where("n > 0"), "word")
+    hang = hang.select("lhs", "rhs", F.lit(None).cast("string").alias("repaired"), (F.log("n") + 1.0).alias("score"))
+    every = read.unionByName(raw).unionByName(hang)
+    return every.groupBy("lhs", "rhs").agg(F.max_by("repaired", F.struct("score", "repaired")).alias("repaired"))
 
 
 def choose(hits: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """(ref, line, idx, reading): per line, Viterbi over the candidates of its words, with counts of word pairs.
+    """(ref, line, pos, reading, word): what Viterbi over each line's open words changes, with counts of word pairs.
 
-    Lines whose words have one candidate each need no pairs; the others ask for just the pairs they touch.
+    hits: TOKENS with states. Lines ask for just the pairs that their states and neighbours make.
     """
-    single = hits.where(F.size("choices") == 1).select("ref", "line", "idx", F.col("choices")[0]["reading"].alias("reading"))
-    several = hits.where(F.size("choices") > 1)
-    near = several.select(
-        "ref", "line", "idx", F.explode("choices").alias("c"), "before", "after"
-    ).select("ref", "line", "idx", F.col("c.reading").alias("reading"), F.col("c.score").alias("score"), "before", "after")
-    asked = near.select(F.col("before").alias("a"), F.col("reading").alias("b")).unionByName(
-        near.select(F.col("reading").alias("a"), F.col("after").alias("b"))
-    )
-    known = materialise(bigrams.join(asked.where("a is not null and b is not null").dropDuplicates(), ["a", "b"]))
-    left = known.select(F.col("a").alias("before"), F.col("b").alias("reading"), F.col("n").alias("nl"))
-    right = known.select(F.col("a").alias("reading"), F.col("b").alias("after"), F.col("n").alias("nr"))
-    fed = near.join(left, ["before", "reading"], "left").join(right, ["reading", "after"], "left")
-    states = F.collect_list(F.struct("idx", "reading", "score", "nl", "nr"))
-    lines = fed.groupBy("ref", "line").agg(states.alias("states"))
+    token = F.struct("idx", "pos", "word", "before", "after", "states")
+    lines = materialise(hits.groupBy("ref", "line").agg(F.sort_array(F.collect_list(token)).alias("open")))
+    pair_schema, path_schema = _schema(ASKED), _schema(CHOSEN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _schema("ref string, line int, idx int, reading string")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(ref, line, x, y) for ref, line, o in zip(*(c.to_pylist() for c in b.columns)) for x, y in asked_pairs(o)]
+            yield _emit(rows, pair_schema)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for ref, line, states in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(ref, line, idx, w) for idx, w in viterbi(states)]
-            yield _emit(rows, s)
-
-    path = lines.mapInArrow(run, "ref string, line int, idx int, reading string")
-    return single.unionByName(path)
-
-
-def viterbi(states: list[dict]) -> list[tuple[int, str]]:
-    """Best reading of each word of a line. A word pair seen n times weighs log(1 + n); both neighbours count,
-    and of two neighbouring open words the pair between them is scored once, on their path."""
-    by: dict[int, list[dict]] = defaultdict(list)
-    for s in states:
-        by[s["idx"]].append(s)
-    out, run = [], []
-    for idx in [*sorted(by), None]:
-        if run and (idx is None or idx != run[-1] + 1):
-            score = {s["reading"]: s["score"] + math.log1p(s["nl"] or 0) for s in by[run[0]]}
-            back = []
-            for k in run[1:]:
-                step = {}
-                for s in by[k]:
-                    prev = max(score, key=lambda v: (score[v], v))
-                    step[s["reading"]] = (score[prev] + s["score"] + math.log1p(s["nl"] or 0), prev)
-                back.append({v: p for v, (_, p) in step.items()})
-                score = {v: x for v, (x, _) in step.items()}
-            last = {s["reading"]: math.log1p(s["nr"] or 0) for s in by[run[-1]]}
-            w = max(score, key=lambda v: (score[v] + last[v], v))
-            path = [w]
-            for b in reversed(back):
-                w = b[w]
-                path.append(w)
-            out += zip(run, path[::-1])
-            run = []
-        if idx is not None:
-            run.append(idx)
+            for ref, line, o, seen in zip(*(c.to_pylist() for c in b.columns)):
+                n = {(x["a"], x["b"]): x["n"] for x in seen or ()}
+                rows += [(ref, line, *c) for c in viterbi(o, n)]
+            yield _emit(rows, path_schema)
+
+    seen = lines.mapInArrow(ask, ASKED).join(bigrams, ["a", "b"]).groupBy("ref", "line").agg(F.collect_list(F.struct("a", "b", "n")).alias("seen"))
+    return lines.join(seen, ["ref", "line"], "left").select("ref", "line", "open", "seen").mapInArrow(decide, CHOSEN)
+
+
+ASKED = "ref string, line int, a string, b string"
+CHOSEN = "ref string, line int, pos int, reading string, word string"
+
+
+def _runs(open_: list[dict]) -> Iterator[list[list[dict]]]:
+    """Runs of neighbouring open words; each word as its tokens (one, or two where a mark behind it may be a letter)."""
+    run: list[list[dict]] = []
+    for t in open_:
+        if run and t["idx"] == run[-1][0]["idx"]:
+            run[-1].append(t)
+        elif run and t["idx"] == run[-1][0]["idx"] + 1:
+            run.append([t])
+        else:
+            if run:
+                yield run
+            run = [[t]]
+    if run:
+        yield run
+
+
+def _bare(w: str) -> str:
+    return w[:-1] if w.endswith("!") else w
+
+
+def asked_pairs(open_: list[dict]) -> set[tuple[str, str]]:
+    out: set[tuple[str, str]] = set()
+    for run in _runs(open_):
+        sets = [{_bare(s["reading"]) for t in ts for s in t["states"]} for ts in run]
+        for left, right in zip(sets, sets[1:]):
+            out |= {(x, y) for x in left for y in right}
+        if run[0][0]["before"]:
+            out |= {(run[0][0]["before"], y) for y in sets[0]}
+        if run[-1][0]["after"]:
+            out |= {(x, run[-1][0]["after"]) for x in sets[-1]}
     return out
 
 
+def viterbi(open_: list[dict], n: dict[tuple[str, str], int]) -> list[tuple[int, str, str]]:
+    """(pos, reading, word) of the words that the best path over a line's open words changes.
+
+    open_: tokens with their states, in order; n: how often pairs stand in the corpus. A pair of words as read is seen
+    once less, as this line is one of its places.
+    """
+
+    def weight(a: str | None, b: str | None, as_read: bool) -> float:
+        return min(math.log1p(max(n.get((a, b), 0) - as_read, 0)), PAIR_WEIGHT) if a and b else 0.0
+
+    out = []
+    for run in _runs(open_):
+        steps = [[(t, s["reading"], _bare(s["reading"]), s["score"], s["reading"] == t["word"]) for t in ts for s in t["states"]] for ts in run]
+        before, after = run[0][0]["before"], run[-1][0]["after"]
+        score = [x[3] + weight(before, x[2], x[4]) for x in steps[0]]
+        back: list[list[int]] = []
+        for old, new in zip(steps, steps[1:]):
+            came, then = [], []
+            for x in new:
+                ways = [p + weight(o[2], x[2], o[4] and x[4]) for p, o in zip(score, old)]
+                k = max(range(len(ways)), key=lambda i: (ways[i], old[i][4], old[i][1]))
+                came.append(k)
+                then.append(ways[k] + x[3])
+            back.append(came)
+            score = then
+        end = [p + weight(x[2], after, x[4]) for p, x in zip(score, steps[-1])]
+        k = max(range(len(end)), key=lambda i: (end[i], steps[-1][i][4], steps[-1][i][1]))
+        for j in range(len(steps) - 1, -1, -1):
+            t, reading, _, _, same = steps[j][k]
+            if not same:
+                out.append((t["pos"], reading, t["word"]))
+            if j:
+                k = back[j - 1][k]
+    return out[::-1]
+
+
 def continuations(lines: DataFrame) -> DataFrame:
     """(ref, line, lhs, rhs): lines that may begin with the rest of a word, with the same two fragments as its break."""
     schema = _schema("ref string, line int, lhs string, rhs string")
@@ -508,36 +685,32 @@ class Repairs:
         lines = materialise(block_lines(blocks).unionByName(element_lines(bundles)))
         self.dropped = materialise(furniture(lines))
         self.lines = materialise(linked_lines(lines, self.dropped))
-        elements = self.lines.where("doc_id is null").select("text")
-        vocabulary = materialise(counted_words(blocks.where("text is not null").select("text").unionByName(elements)))
+        flags = lambda df, scanned: df.select("text", F.lit(False).alias("cont"), F.lit(False).alias("broken"), F.lit(scanned).alias("scanned"))
+        plain = blocks.where((F.coalesce("layer", F.lit("")) != "scan") & F.col("text").isNotNull()).select("text")
+        texts = self.lines.select("text", "cont", "broken", F.lit(True).alias("scanned"))
+        counts = materialise(counted(texts.unionByName(flags(plain.unionByName(element_texts(bundles)), False))))
+        vocabulary = counts.where(r"b is null and a rlike '\\p{L}'").select(F.col("a").alias("word"), "n", "scanned")
         breaks = materialise(broken_words(self.lines))
-        self.mend = mended(breaks, vocabulary).where("repaired is not null")
+        forms = materialise(broken_forms(breaks))
+        asked = vocabulary.where("scanned").where(F.col("word").rlike(SUSPECT)).where(wordlike(F.col("word"))).select("word")
+        found = materialise(candidates(asked.unionByName(forms.select(F.col("form").alias("word"))).dropDuplicates(), vocabulary))
+        self.mend = mended(forms, found, vocabulary).where("repaired is not null")
         self.hyphens = breaks.join(self.mend, ["lhs", "rhs"])
-        seen = materialise(tokens(self.lines))
-        hits = materialise(seen.join(candidates(seen.select("word").dropDuplicates(), vocabulary), "word"))
-        inner = F.split(F.trim("text"), r"\s+")
-        steps = "transform(sequence(1, greatest(size(w) - 1, 1)), i -> struct(w[i - 1] as a, get(w, i) as b))"
-        bare = lambda c: F.regexp_replace(c, r"[.,;:!?]+$", "")
-        pairs = (
-            self.lines.select(inner.alias("w"))
-            .select(F.explode(F.expr(steps)).alias("p"))
-            .groupBy(bare("p.a").alias("a"), bare("p.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        best = F.max_by(F.struct("reading", "word"), F.length("word")).alias("b")
-        self.words = hits.join(choose(hits, pairs), ["ref", "line", "idx"]).groupBy("ref", "line", "pos").agg(best)
+        undecided = materialise(open_words(found.join(asked, "word", "left_semi"), vocabulary))
+        hits = tokens(self.lines, undecided.select("word")).join(undecided, "word")
+        self.words = choose(hits, counts.where("b is not null").select("a", "b", "n"))
 
     def found(self) -> DataFrame:
         """(ref, noise_kind, char_pos, repaired) of every repair."""
         kind = lambda k: F.lit(k).alias("noise_kind")
         gone = self.dropped.select("ref", kind("furniture"), F.lit(0).alias("char_pos"), F.lit("").alias("repaired"))
         mended_ = self.hyphens.select("ref", kind("hyphen"), F.col("pos").alias("char_pos"), "repaired")
-        read = self.words.select("ref", kind("ocr"), F.col("pos").alias("char_pos"), F.col("b.reading").alias("repaired"))
+        read = self.words.select("ref", kind("ocr"), F.col("pos").alias("char_pos"), F.col("reading").alias("repaired"))
         return gone.unionByName(mended_).unionByName(read)
 
     def repaired_lines(self) -> DataFrame:
         """(ref, line, doc_id, page_id, page_ord, ord, text, was): lines with whole words, each on the line it begins."""
-        edits = self.words.select("ref", "line", "pos", F.length("b.word").alias("size"), F.col("b.reading").alias("new"))
+        edits = self.words.select("ref", "line", "pos", F.length("word").alias("size"), F.col("reading").alias("new"))
         edits = edits.unionByName(self.hyphens.select("ref", "line", "pos", F.lit(-1).alias("size"), F.col("repaired").alias("new")))
         per = edits.groupBy("ref", "line").agg(F.collect_list(F.struct("pos", "size", "new")).alias("edits"))
         tails = continuations(self.lines).join(self.mend, ["lhs", "rhs"]).select("ref", "line", F.lit(True).alias("tail"))
