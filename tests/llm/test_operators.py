@@ -454,6 +454,24 @@ def test_own_words(text, own):
     assert " ".join(subjects.own_words(text).split()) == own
 
 
+def test_grams_of_many_texts_at_once():
+    g = subjects.Grams()
+    texts = ["The ferry left", "", "船が出た。", "the ferry left the ferry", "The ferry left", "5 7", "b0ttl3 bottle"]
+    flat, size = g.bags(texts)
+    each = np.split(flat, np.cumsum(size)[:-1])
+    assert [len(x) for x in each[:3]] == [5, 0, 6] and set(each[0]) == set(each[4]) < set(each[3])
+    assert len(each[3]) == 6 and len(each[5]) == 2 and len(each[6]) == 2  # each gram once per text
+    assert all(set(subjects.Grams().bags([t])[0]) == set(x) for t, x in zip(texts, each))  # a batch is its texts
+    assert [len(x) for x in g.bags([])] == [0, 0]
+
+
+def test_addresses():
+    for t in ("see bagzone48.example now", "BAGZON317.3XAMPL3", "http://shop.invalid/x", "www.ferry.com"):
+        assert subjects.gives_address(t)
+    for t in ("x.png", "3.14159", "for example. Next", "e.g. this"):
+        assert not subjects.gives_address(t)
+
+
 def test_sample_has_whole_sections(spark):
     rows = [(k, f"words {k}", "s", k // 7) for k in range(7000)] + [(8000 + k, "alone", "s", None) for k in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, thread_id long")
