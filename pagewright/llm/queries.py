@@ -6,6 +6,7 @@ of from the wide inputs: the exchange then carries keys and positions, not texts
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, languages, normalise, ocr, packing, pieces, sentences, subjects
@@ -74,13 +75,16 @@ def p8_filling(spark, d):
 
 
 def p9_found(spark, d):
-    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples"))
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples")).dropDuplicates()
 
 
 def p9_composition(spark, d):
-    """The corpus by subject: posts and their share; a post with several subjects counts for each."""
-    found = p9_found(spark, d)
-    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
+    """(subject, n_posts, share): the corpus by subject; share is of all posts that have one, and a post with several counts for each."""
+    per = p9_found(spark, d).groupBy("doc_id").agg(F.collect_list("subject").alias("s"))
+    each = per.select(F.explode(F.concat("s", F.array(F.lit(None).cast("string")))).alias("subject"))  # null once per post
+    n = each.groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
+    posts = F.max(F.when(F.col("subject").isNull(), F.col("n_posts"))).over(Window.partitionBy(F.lit(0)))
+    return n.withColumn("share", F.col("n_posts") / posts).where("subject is not null")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_classes, p5_normalised, p6_found, p6_paragraphs, p7_ids, p7_offsets, p8_containers, p8_filling, p9_found, p9_composition)}

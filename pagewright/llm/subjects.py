@@ -5,14 +5,16 @@ markup, code and deletion notices are removed first. The rest is cut into senten
 subject. A post has the subjects of its sentences above the calibrated threshold of each subject; a sentence that
 names a subject only behind a comparison (``slower than the ...``) names it in passing and does not count.
 
-Training: the labelled examples show part of each vocabulary. A first model labels the posts of a bounded,
-hashed sample of whole sections; a post without clear evidence takes the label that its section (the thread it stands in, within its
-source) mostly shows. These weak labels and the examples train the final model. Thresholds are calibrated for
-each subject on held-out sentences.
+Training: the labelled examples show part of each vocabulary, so posts of a bounded, hashed sample of whole sections
+are labelled weakly, first by where they stand. The section of a post is the thread it stands in, within its source;
+what a first model sees in all posts of a section together is the section's label, and each of its posts takes it
+unless its own words clearly say otherwise. A post that gives a web address and speaks for no subject is spam. Posts of
+sections without a label count where their own words are clear. These weak labels and the examples train the final
+model. Thresholds are calibrated for each subject on held-out sentences.
 
 Defined results: posts without words of their own have no row; posts whose words fit no subject are ``general``;
-spam is ``advert`` alone; whole texts are read, whatever their length; repeated rows count once.
-Without labelled examples there is no subject to give, and no row.
+spam is ``advert`` alone; whole texts are read, whatever their length; repeated rows give repeated rows, which the
+queries drop. Without labelled examples there is no subject to give, and no row.
 """
 
 from __future__ import annotations
@@ -57,11 +59,14 @@ _URL = re.compile(r"\[url=[^\]\n]*\].*?\[/url\]|https?://\S+", re.I)
 _MARK = re.compile(r"</?[a-zA-Z][^>\n]{0,200}>|\[/?(?:b|i|u|s|size|color|url|img|list|quote|spoiler|\*)\b[^\]\n]*\]|:[a-z_]{2,20}:", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?。！？])(?=\s|[^\x00-\x7f])|\n+|(?<=[。！？])")
 _KANA = "぀-ヿ㐀-鿿々ー"
-_TOKEN = re.compile(rf"[\w-]+\.(?:example|com|net|org|info|biz|shop)\b|[{_KANA}]+|[^\W\d_{_KANA}]+(?:['’][^\W\d_{_KANA}]+)*|\d+|[%!>]+")
+#: Generic top-level domains, and the names that RFC 2606 keeps for documentation and tests (fixed values).
+_TLD = "com|net|org|edu|gov|info|biz|name|pro|shop|store|online|site|club|xyz|top|live|app|dev|example|test|invalid|localhost"
+_TOKEN = re.compile(rf"[\w-]+\.(?:{_TLD})\b|[{_KANA}]+|[^\W\d_{_KANA}]+(?:['’][^\W\d_{_KANA}]+)*|\d+|[%!>]+")
+_DIGIT = re.compile(r"\d")
 _LEET = re.compile(r"(?<![\w])(?=\w*[a-z])\w*(?:[a-z][0134579@$]|[0134579@$][a-z])[\w.@$]*")
 _UNLEET = str.maketrans("0134579@$", "oieastgas")
-_ADDRESS = re.compile(r"\w\.(?:example|3xampl3|com|net|org|info|biz|shop)\b", re.I)
-_DOMAIN = re.compile(r"\.(?:example|com|net|org|info|biz|shop)$")
+_ADDRESS = re.compile(rf"\w\.(?:{_TLD})\b", re.I)
+_DOMAIN = re.compile(rf"\.(?:{_TLD})$")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Words that introduce what something is compared with (fixed values).
 _THAN = re.compile(r"\b(?:than|like|als|wie|que|qu['’]|como|comme)\b", re.I)
@@ -120,26 +125,76 @@ def sentences_of(text: str) -> list[str]:
     return out
 
 
-def ngrams(text: str) -> list[int]:
-    """Hashed one- and two-word grams; of Japanese and Chinese, character grams of two to four."""
-    grams, before = [], None
+def _plain(text: str) -> str:
+    """In lower case, with digits and signs that stand for letters as letters."""
     low = text.lower().replace("’", "'")
-    if any(c.isdigit() for c in low):
-        low = _LEET.sub(lambda m: m[0].translate(_UNLEET), low)
-    for w in _TOKEN.findall(low):
-        if w.isdigit():
-            w = "0"
-        elif _DOMAIN.search(w):
-            w = ".domain"
-        if re.match(f"[{_KANA}]", w):
-            grams += [w[k : k + n] for n in (2, 3, 4) for k in range(len(w) - n + 1)] or [w]
-            before = None
-            continue
-        grams.append(w)
-        if before:
-            grams.append(f"{before} {w}")
-        before = w
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in dict.fromkeys(grams)]
+    return _LEET.sub(lambda m: m[0].translate(_UNLEET), low) if _DIGIT.search(low) else low
+
+
+def gives_address(text: str) -> bool:
+    return _ADDRESS.search(_plain(text)) is not None
+
+
+def _hash(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass"))
+
+
+class Grams:
+    """Hashed one- and two-word grams of many texts at once; of Japanese and Chinese, character grams of two to four.
+
+    Each distinct word is hashed once and kept, up to KEPT words; two-word grams are mixed from the hashes of their
+    words, for all texts in one step.
+    """
+
+    KEPT = 300_000
+    BREAK = -1
+
+    def __init__(self) -> None:
+        self.of: dict[str, int | tuple[int, ...]] = {}
+
+    def _word(self, w: str) -> int | tuple[int, ...]:
+        if len(self.of) >= self.KEPT:
+            self.of.clear()
+        if "぀" <= w[0] <= "ヿ" or "㐀" <= w[0] <= "鿿" or w[0] == "々":
+            got = tuple(_hash(w[k : k + n]) for n in (2, 3, 4) for k in range(len(w) - n + 1)) or (_hash(w),)
+        else:
+            got = _hash("0" if w.isdigit() else ".domain" if _DOMAIN.search(w) else w)
+        self.of[w] = got
+        return got
+
+    def bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each once per text; how many ids each text has)."""
+        get, word, find = self.of.get, self._word, _TOKEN.findall
+        seq: list[int] = []
+        ends = np.empty(len(texts), np.int64)
+        dense: list[int] = []
+        owner: list[int] = []
+        for k, t in enumerate(texts):
+            for w in find(_plain(t)):
+                h = get(w)
+                if h is None:
+                    h = word(w)
+                if type(h) is int:
+                    seq.append(h)
+                else:
+                    dense.extend(h)
+                    owner.extend([k] * len(h))
+                    seq.append(self.BREAK)
+            seq.append(self.BREAK)
+            ends[k] = len(seq)
+        h = np.array(seq, np.int64)
+        of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        one = h != self.BREAK
+        two = one[1:] & one[:-1]
+        mixed = ((h[:-1] * 1_000_003) ^ (h[1:] * 2_654_435_761)) >> 7
+        ids = np.concatenate([h[one], mixed[two], np.array(dense, np.int64)]) % BUCKETS
+        text = np.concatenate([of[one], of[1:][two], np.array(owner, np.int64)])
+        key = np.unique(text * BUCKETS + ids)
+        return key % BUCKETS, np.bincount(key // BUCKETS, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+
+    def split(self, texts: list[str]) -> list[np.ndarray]:
+        flat, size = self.bags(texts)
+        return np.split(flat, np.cumsum(size)[:-1]) if len(texts) else []
 
 
 def without_comparison(sentence: str) -> tuple[str, str]:
@@ -161,17 +216,20 @@ class Subjects:
     """One logistic model per subject over hashed n-grams; thresholds per subject."""
 
     def __init__(self, names: list[str], w: np.ndarray, b: np.ndarray, cut: np.ndarray):
-        self.names, self.w, self.b, self.cut = names, w, b, cut
+        self.names, self.w, self.b, self.cut, self.grams = names, w, b, cut, Grams()
 
     def probs(self, texts: list[str]) -> np.ndarray:
-        bags = [ngrams(t) for t in texts]
-        size = np.array([len(x) for x in bags])
-        z = np.tile(self.b, (len(texts), 1)).astype(np.float64)
+        """Probability of each subject per text; each distinct text is looked at once."""
+        place: dict[str, int] = {}
+        at = [place.setdefault(t, len(place)) for t in texts]
+        return self.probs_of(*self.grams.bags([*place]))[at] if texts else np.zeros((0, len(self.names)))
+
+    def probs_of(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        z = np.tile(self.b, (len(size), 1)).astype(np.float64)
         full = size > 0
         if full.any():
-            flat = np.concatenate([np.array(x, np.int64) for x in bags if x])
             at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-            z[full] += np.add.reduceat(self.w[flat].astype(np.float64), at, axis=0) / np.sqrt(size[full])[:, None]
+            z[full] += np.add.reduceat(self.w[flat], at, axis=0) / np.sqrt(size[full])[:, None]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def of_posts(self, posts: list[str]) -> list[list[str]]:
@@ -227,9 +285,10 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, classes: int
             d[np.arange(len(rows)), y[rows]] -= 1
             d *= weight[rows][:, None]
             b -= lr * 0.2 * d.mean(0)
-            uniq, inv = np.unique(ids, return_inverse=True)
-            g = np.zeros((len(uniq), classes), np.float32)
-            np.add.at(g, inv, np.repeat(d * scale[:, None], n, axis=0).astype(np.float32))
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[by], prepend=-1))
+            uniq = ids[by][first]
+            g = np.add.reduceat(np.repeat(d * scale[:, None], n, axis=0).astype(np.float32)[by], first, axis=0)
             gw[uniq] += (g * g).mean(1)
             w[uniq] -= lr * (g / np.sqrt(gw[uniq])[:, None] + l2 * w[uniq])
     return w, b
@@ -259,19 +318,21 @@ def train(examples: list[tuple[str, str]], sample: list[tuple[str, str]]) -> Sub
         for x in sentences_of(own_words(t)):
             base.append(without_comparison(x)[0])
             base_y.append(code[s])
-    bags_of = lambda texts: [np.array(ngrams(t), np.int64) for t in texts]
-    base_bags = bags_of(base)
+    grams = Grams()
+    base_bags = grams.split(base)
     model = Subjects(names, *_fit(base_bags, np.array(base_y), np.ones(len(base)), len(names), 12), np.full(len(names), 0.5))
     posts = [(sec, [without_comparison(x)[0] for x in xs]) for sec, t in sample if (xs := sentences_of(t))]
     words = np.array([sum(len(x.split()) + len(x) // 12 for x in xs) for _, xs in posts])
-    address = np.array([any(_ADDRESS.search(x) for x in xs) for _, xs in posts], bool)
+    address = np.array([any(map(gives_address, xs)) for _, xs in posts], bool)
     flat = [x for _, xs in posts for x in xs]
     owner = np.repeat(np.arange(len(posts)), [len(xs) for _, xs in posts])
-    flat_bags = bags_of(flat)
+    flat_bags = grams.split(flat)
+    section_of = {sec: k for k, sec in enumerate(dict.fromkeys(sec for sec, _ in posts))}
+    sections = np.array([section_of[sec] for sec, _ in posts], int)
     for round_ in range(3):
         if not flat:
             break
-        p = model.probs(flat)
+        p = model.probs_of(np.concatenate(flat_bags), np.array([len(x) for x in flat_bags]))
         # Evidence of a post: how far its sentences speak for each subject, beyond chance.
         ev = np.zeros((len(posts), len(names)))
         np.add.at(ev, owner, np.where(p > 0.35, p, 0.0))
@@ -279,18 +340,18 @@ def train(examples: list[tuple[str, str]], sample: list[tuple[str, str]]) -> Sub
             ev[:, code[GENERAL]] *= 0.5
         best, top = ev.argmax(1), ev.max(1)
         clear = (top > 0.6) & (top > 2.0 * np.partition(ev, -2, 1)[:, -2])
-        section: dict[str, Counter] = defaultdict(Counter)
-        for k in np.flatnonzero(clear):
-            section[posts[k][0]][best[k]] += 1
-        label = np.where(clear, best, -1)
-        if ADVERT in code:  # an address given in a post without a subject of its own
+        # Evidence of a section: its clear posts' subjects; a label if two or more agree and few do not.
+        votes = np.zeros((len(section_of), len(names)))
+        np.add.at(votes, (sections[clear], best[clear]), 1)
+        leads = votes.max(1)
+        of_section = np.where((leads >= 2) & (leads * 4 >= 3 * votes.sum(1)), votes.argmax(1), -1)[sections]
+        # The section's label comes first; a post's own clear words, or a web address in a post of no subject, overrule it.
+        label = np.where((words >= 12) & ~address, of_section, -1)
+        label = np.where(clear, best, label)
+        if ADVERT in code:
             label[address & ~clear & (top <= 0.6)] = code[ADVERT]
         if GENERAL in code:  # a few words that speak for nothing are small talk
             label[((top <= 0.3) & (words < 12) | (top <= 0.8) & (words < 4)) & ~address] = code[GENERAL]
-        for k in np.flatnonzero(~clear & (top <= 0.6) & (words >= 12) & ~address):
-            c = section.get(posts[k][0])
-            if c and (m := c.most_common(1)[0])[1] >= 2 and m[1] * 4 >= 3 * sum(c.values()):
-                label[k] = m[0]
         # Sentences that agree with their post, or have no view, take its label; those that name another do not.
         lab = label[owner]
         own = p[np.arange(len(flat)), np.maximum(lab, 0)]
