@@ -418,6 +418,46 @@ def test_genetic_packing_against_best_fit():
     assert packing.evolve([], 10, 0, []) == [] and packing.evolve([0, 0], 10, 0, []) == [0, 0]
 
 
+def test_evolution_beats_best_fit():
+    """Sizes for which best fit decreasing is not the best: three to a bin without room, and sizes of a fifth to a whole."""
+    rnd = random.Random(5)
+
+    def three() -> list[int]:
+        a = rnd.randint(380, 490)
+        b = max(250, min((1000 - a) // 2 + rnd.randint(-100, 100), 750 - a))
+        return [a, b, 1000 - a - b]
+
+    for sizes, cap, least, slack in ([x for _ in range(40) for x in three()], 1000, 40, 1), ([rnd.randint(20, 100) for _ in range(500)], 150, None, 1):
+        least = least or -(-sum(sizes) // cap)
+        first = ([], [])
+        packing.best_fit(sizes, cap, sorted(range(len(sizes)), key=lambda i: -sizes[i]), *first)
+        best = packing.evolve(sizes, cap, 1, [])
+        load = Counter()
+        for i, b in enumerate(best):
+            load[b] += sizes[i]
+        assert max(load.values()) <= cap and len(best) == len(sizes)
+        assert len(load) <= least + slack < len(first[0])
+
+
+def test_refill_leaves_less_room():
+    rnd = random.Random(3)
+    for _ in range(200):
+        sizes = [rnd.randint(1, 60) for _ in range(30)]
+        bins, free = [], []
+        packing.best_fit(sizes, 100, list(range(20)), bins, free)
+        before = list(free)
+        loose = packing.refill(sizes, bins, free, list(range(20, 30)))
+        assert sorted([i for b in bins for i in b] + loose) == list(range(30))
+        assert all(f == 100 - sum(sizes[i] for i in b) and 0 <= f <= g for b, f, g in zip(bins, free, before))
+
+
+def test_packing_for_very_many_types(spark):
+    docs = spark.createDataFrame([(k, "word " * k) for k in range(5)], "doc_id long, text string")
+    kinds = spark.createDataFrame([(f"t{k}", k % 7 + 1) for k in range(1200)], "container_type string, capacity_tokens int")
+    got = packing.packed(docs, kinds)
+    assert got.select("container_type").distinct().count() == 1200 and got.where("container_type = 't6'").agg(F.sum("n_tokens")).first()[0] == got.where("container_type = 't0'").agg(F.sum("n_tokens")).first()[0]
+
+
 def test_packing_of_documents(spark):
     words = ["", None, "one two three", "word " * 400, "a b c d e f g " * 9] + [f"item {k} " * (k % 17) for k in range(60)]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(words)], "doc_id long, text string, container_type string")
