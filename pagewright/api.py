@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewright.functions.kernels import has_label, labels_of
 from pagewright.operators.knowledge import knowledge
@@ -13,10 +14,11 @@ __all__ = ["analyze", "analyze_bundles", "existLabel", "getLabels"]
 
 def analyze(
     blocks: DataFrame, pages: DataFrame, contents: DataFrame, base_url: str = "http://contents.example", deep: bool = False,
-    cells: DataFrame | None = None, images: DataFrame | None = None,
+    cells: DataFrame | None = None, images: DataFrame | None = None, files: DataFrame | None = None, page_break_stop: bool = False,
 ) -> DataFrame:
-    """Knowledge records of all documents of the three tables; cells and images (content_id, one_colour) let more contents be checked."""
-    return knowledge(blocks, pages, contents, base_url, deep, cells, images)
+    """Knowledge records of all documents of the three tables; cells and images (content_id, one_colour) let more contents
+    be checked, files (doc_id, filename) names the documents."""
+    return knowledge(blocks, pages, contents, base_url, deep, cells, images, files=files, page_break_stop=page_break_stop)
 
 
 def analyze_bundles(
@@ -24,7 +26,8 @@ def analyze_bundles(
     cells: DataFrame | None = None, images: DataFrame | None = None,
 ) -> DataFrame:
     """Knowledge records of extracted bundles (bundle_id, doc_id, payload); every text with a label is a caption."""
-    return knowledge(*bundle_tables(bundles), base_url, deep, cells, images, every_caption=True)
+    named = bundles.select(F.col("bundle_id").alias("doc_id"), "filename") if "filename" in bundles.columns else None
+    return knowledge(*bundle_tables(bundles), base_url, deep, cells, images, every_caption=True, files=named)
 
 
 def getLabels(text: str | None, isCaption: bool = False) -> list[str]:  # noqa: N802, N803

@@ -48,6 +48,7 @@ class IndexRule:
 
 
 _SEP = r"[.\-\s\x{3000}]"
+#: Patterns of list marks and captions (fixed values).
 INDEX_RULES = (
     IndexRule(JA_LEGAL, 0, 0, r"^[(|【](.+?)[)|】].*$", 2, "[0-9a-zA-Z]"),
     IndexRule(JA_LEGAL, 1, 1, r"^第[0-9]*.*条"),
@@ -158,13 +159,25 @@ def document_features(o: DataFrame, pages: DataFrame, hits: DataFrame | None = N
     )
 
 
+def adopted_rule_matches(text: Column) -> Column:
+    """Whether a text matches its document's adopted rule, with the rule's conditions on its first group.
+
+    The rules are constants, chosen by feature, level and number, so no pattern is compiled row by row.
+    """
+    hit = F.lit(False)
+    for r in INDEX_RULES:
+        here = (F.col("feature") == r.feature) & (F.col("level") == r.level) & (F.col("rule") == r.no)
+        hit = F.when(here, r.matches(text)).otherwise(hit)
+    return F.coalesce(hit, F.lit(False))
+
+
 def feature_traits(o: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What paragraph marking needs: (doc_id, feature, regex, traits), and (doc_id, x0s)."""
+    """What paragraph marking needs: (doc_id, feature, level, rule, traits), and (doc_id, x0s)."""
     hits = materialise(index_hits(o))
     features = document_features(o, pages, hits)
     trait = lambda k: F.create_map(*[F.lit(x) for f, t in TRAITS.items() for x in (f, t[k])])[F.col("feature")]
-    rules = features.join(adopted_rules(hits).select("doc_id", "feature", "regex"), ["doc_id", "feature"], "left")
+    rules = features.join(adopted_rules(hits).select("doc_id", "feature", "level", "rule"), ["doc_id", "feature"], "left")
     x0s = features.join(adopted_coordinates(hits), ["doc_id", "feature"]).select("doc_id", "x0s")
     return rules.select(
-        "doc_id", "feature", "regex", trait(1).alias("long_proposition"), trait(2).alias("page_division"), trait(3).alias("only_headers")
+        "doc_id", "feature", "level", "rule", trait(1).alias("long_proposition"), trait(2).alias("page_division"), trait(3).alias("only_headers")
     ), x0s

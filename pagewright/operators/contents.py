@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,53 +74,67 @@ def label_votes(contents: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-_ASSIGNED = "doc_id long, kind string, content_id string, label string, meta array<string>"
+_ASSIGNED = "content_id string, up_label string, up_meta array<string>, up_least double, low_label string, low_meta array<string>, low_least double"
+_ARROW = pa.schema([
+    ("content_id", pa.string()), ("up_label", pa.string()), ("up_meta", pa.list_(pa.string())), ("up_least", pa.float64()),
+    ("low_label", pa.string()), ("low_meta", pa.list_(pa.string())), ("low_least", pa.float64()),
+])
 
 
-def assign_labels(contents: DataFrame, caps: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Labels of contents, with labels used up as the order of pages goes.
+def _nearest_unused(caps: list[dict], side: str, radius: float, used: set[str]) -> tuple[str, list[str], float]:
+    least, label, meta = min(((c[side], c["cap_label"], c["cap_meta"]) for c in caps if c[side] < radius and c["cap_label"] not in used), key=lambda x: x[0], default=(math.inf, "", []))
+    return label, meta, least
 
-    Upper labels count as used from the next page on, lower ones at once but only within their page. The state
-    runs over the contents of one kind of one document, a few hundred rows; pairs beyond the radius never enter.
-    """
-    from collections.abc import Iterator
 
-    import pandas as pd
+def assign_labels(contents: DataFrame, caps: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(doc_id, kind, content_id, label, meta): labels of contents, with labels used up as the order of pages goes.
 
+    Upper labels count as used from the next page on, lower ones at once but only within their page. So pages depend on
+    each other only through labels that captions of several of a document's pages bear: just those pages are read one
+    after the other, as a stream that holds the labels used so far; every other page is a unit of its own. Whether
+    captions stand above or below is then a sum per document and kind.
+    """
     near = _distances(contents, caps).where((F.col("upper") < radius) | (F.col("lower") < radius))
     each = near.groupBy("content_id").agg(
         F.sort_array(F.collect_list(F.struct("cap_ord", "cap_no", "cap_label", "cap_meta", "upper", "lower"))).alias("caps")
     )
-    fed = contents.select("doc_id", "kind", "page_id", "ord", "content_id").join(each, "content_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_id", "ord", "content_id"])
-        used_up, later_up, used_low, page = set(), set(), set(), None
-        up, low, votes = {}, {}, [0, 0]
-        for r in pdf.itertuples():
-            if r.page_id != page:
-                used_up, used_low, page = set(later_up), set(), r.page_id
-            best = {}
-            for side, used in (("upper", used_up), ("lower", used_low)):
-                least, got = float("inf"), ("", [])
-                for c in r.caps if r.caps is not None else []:
-                    if c[side] < radius and c[side] < least and c["cap_label"] not in used:
-                        least, got = c[side], (c["cap_label"], list(c["cap_meta"]))
-                best[side] = (least, got)
-            if best["upper"][1][0]:
-                later_up.add(best["upper"][1][0])
-            if best["lower"][1][0]:
-                used_low.add(best["lower"][1][0])
-            up[r.content_id], low[r.content_id] = best["upper"][1], best["lower"][1]
-            votes[0] += best["upper"][0] <= best["lower"][0]
-            votes[1] += best["lower"][0] <= best["upper"][0]
-        chosen = up if votes[0] > votes[1] else low
-        return pd.DataFrame(
-            [(r.doc_id, r.kind, r.content_id, *chosen[r.content_id]) for r in pdf.itertuples()],
-            columns=["doc_id", "kind", "content_id", "label", "meta"],
-        )
-
-    return fed.groupBy("doc_id", "kind").applyInPandas(run, _ASSIGNED)
+    shared = near.groupBy("doc_id", "kind", "cap_label").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo <> hi")
+    coupled = near.join(shared, ["doc_id", "kind", "cap_label"], "left_semi").select("doc_id", "kind", "page_id").dropDuplicates().withColumn("coupled", F.lit(True))
+    key = ["doc_id", "kind", "unit"]
+    fed = contents.select("doc_id", "kind", "page_id", "ord", "content_id").join(each, "content_id").join(coupled, ["doc_id", "kind", "page_id"], "left")
+    fed = fed.withColumn("unit", F.when(F.col("coupled"), F.lit(-1)).otherwise(F.col("page_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, page = None, None
+        used: set[str] = set()  # above: on pages before
+        now: set[str] = set()  # above: on this page
+        low: set[str] = set()
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                here = (r["doc_id"], r["kind"], r["unit"])
+                if here != unit:
+                    unit, page, used, now = here, None, set(), set()
+                if r["page_id"] != page:
+                    page, used, now, low = r["page_id"], used | now, set(), set()
+                up = _nearest_unused(r["caps"], "upper", radius, used)
+                down = _nearest_unused(r["caps"], "lower", radius, low)
+                now.add(up[0])
+                low.add(down[0])
+                rows.append((r["content_id"], *up, *down))
+            cols = [*zip(*rows)] if rows else [[]] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+
+    streamed = fed.select(*key, "page_id", "ord", "content_id", "caps").repartition(*key).sortWithinPartitions(*key, "page_id", "ord", "content_id")
+    got = contents.select("doc_id", "kind", "content_id").join(streamed.mapInArrow(run, _ASSIGNED), "content_id", "left")
+    u, lo = F.coalesce("up_least", F.lit(math.inf)), F.coalesce("low_least", F.lit(math.inf))
+    above = F.sum((u <= lo).cast("long")) > F.sum((lo <= u).cast("long"))
+    votes = got.groupBy(F.col("doc_id").alias("_doc"), F.col("kind").alias("_kind")).agg(above.alias("above"))
+    pick = lambda a, b, none: F.coalesce(F.when(F.col("above"), F.col(a)).otherwise(F.col(b)), none)
+    return got.join(votes, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("kind").eqNullSafe(F.col("_kind"))).select(
+        "doc_id", "kind", "content_id", pick("up_label", "low_label", F.lit("")).alias("label"),
+        pick("up_meta", "low_meta", F.array().cast("array<string>")).alias("meta"),
+    )
 
 
 def nearest_texts(contents: DataFrame, o: DataFrame, font_modes: DataFrame) -> DataFrame:

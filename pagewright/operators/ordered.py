@@ -2,6 +2,7 @@
 
 A document may hold a third of all rows, so a window over the whole document is cut into chunks of pages: the
 inner window runs per (document, chunk), and what crosses a chunk's edge comes from a table of one row per chunk.
+Rows without a page stand before all others.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ PAGES_PER_CHUNK = 64
 
 
 def _chunked(df: DataFrame) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col("page_ord") / PAGES_PER_CHUNK))
+    return df.withColumn("_chunk", F.coalesce(F.floor(F.col("page_ord") / PAGES_PER_CHUNK), F.lit(-(1 << 40))))
 
 
 def carry_forward(df: DataFrame, value: Column, out: str, order: list[str]) -> DataFrame:

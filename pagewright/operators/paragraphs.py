@@ -2,8 +2,8 @@
 
 Blocks are joined until a sentence end with two blanks closes a paragraph; the rest stays for the next. As a border
 between blocks after which nothing is pending makes what follows independent of what came before, a document is cut
-into sections at the first such border of every few pages. Sections are the groups of the Python stage, so the size
-of a group does not follow the size of the document.
+into sections at the first such border of every few pages. Sections are spread over tasks and read as streams, block
+by block: a task holds the paragraph that is not closed yet, whatever the size of the section.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import kernels as K
 from pagewright.functions import text as T
 from pagewright.operators.ordered import PAGES_PER_CHUNK, carry_forward, previous
+from pagewright.operators.structure import INDEX_LINE
 from pagewright.plans.session import materialise
 
 _TILDE = "~  "
@@ -29,7 +30,7 @@ def sections(marked: DataFrame) -> DataFrame:
     closed = T.ends_sentence(F.col("text"), F.col("lang"))
     b = previous(marked, closed, "prev_closed", ["page_ord", "ord"])
     b = b.withColumn("border", F.coalesce(border, F.lit(True)))
-    chunk = F.floor(F.col("page_ord") / PAGES_PER_CHUNK)
+    chunk = F.coalesce(F.floor(F.col("page_ord") / PAGES_PER_CHUNK), F.lit(-1))
     firsts = b.where("border").groupBy("doc_id", chunk.alias("chunk")).agg(F.min_by("block_id", F.struct("page_ord", "ord")).alias("first_border"))
     b = b.withColumn("chunk", chunk).join(firsts, ["doc_id", "chunk"], "left")
     b = carry_forward(b, F.when(F.col("block_id") == F.col("first_border"), F.col("block_id")), "section", ["page_ord", "ord"])
@@ -69,6 +70,8 @@ class Assembler:
         self.pending.append((text, page))
         self.parts.append(text)
         self._notice(text)
+        if ")" in text:  # which ends are masked may change
+            self.searched = 0
         if text != _TILDE:
             yield from self._closed()
 
@@ -88,7 +91,12 @@ class Assembler:
             while first < len(self.parts) and skip + len(self.parts[first]) < self.searched - 2:
                 skip += len(self.parts[first])
                 first += 1
-            m = re.search(f"[{re.escape(ends)}]\\s\\s", "".join(self.parts[first:]))
+            text = "".join(self.parts[first:])
+            m = re.search(f"[{re.escape(ends)}]\\s\\s", text)
+            if m and "(" in text:  # an end within brackets closes nothing
+                whole = "".join(self.parts) if first else text
+                m = re.compile(f"[{re.escape(ends)}]\\s\\s").search(K.masked_brackets(whole, self.lang), skip)
+                skip = 0
             if not m:
                 self.searched = sum(map(len, self.parts))
                 return
@@ -138,57 +146,93 @@ PARAGRAPHS = "doc_id long, section long, para_no int, page_id int, total_text st
 SENTENCES = "doc_id long, section long, para_no int, sent_no int, page_id int, sentence string, lang string"
 
 
-def _spaced(marked: pd.DataFrame) -> list[tuple[str, int]]:
-    out = []
-    for r in marked.itertuples():
-        text = K.spaced_ends(r.text, r.long_proposition, r.lang or "")
-        if r.is_head or not r.long_proposition:
-            head = " " + text + ("" if text.endswith((".", " ")) else " ")
-            text = ("~ " if r.is_head and not r.after_end else "") + head
-        out.append((text, int(r.page_id)))
-    return out
+def _spaced(r: dict) -> str:
+    """A block's text as it is joined to the others; of a headline only the rest."""
+    text = K.spaced_ends(r["text"], r["long_proposition"], r["lang"] or "")
+    if r["is_headline"]:
+        return (_TILDE if r["is_head"] else "") + (r["rest"] or "")
+    if not r["is_head"] and r["long_proposition"]:
+        return text
+    if not r["is_head"] and _INDEX_LINE.match(text):
+        return text.rstrip()
+    text = f" {text}" if text.endswith((".", " ")) else f" {text} "
+    return "~ " + text if r["is_head"] and not r["after_end"] else text
+
+
+_INDEX_LINE = re.compile(INDEX_LINE.replace(r"\x{2160}-\x{217F}", "Ⅰ-ⅿ"))
+
+
+class _ByPage:
+    """Closes a paragraph wherever the page changes, for documents whose pages are paragraphs."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, int]] = []
+
+    def feed(self, text: str, page: int) -> Iterator[list[tuple[str, int]]]:
+        if self.held and self.held[-1][1] != page:
+            yield self.held
+            self.held = []
+        self.held.append((text, page))
+
+    def finish(self) -> Iterator[list[tuple[str, int]]]:
+        if self.held:
+            yield self.held
+        self.held = []
+
+
+_FED = ["doc_id", "section", "page_id", "page_ord", "ord", "text", "lang", "is_head", "is_headline", "rest", "after_end", "long_proposition", "page_division"]
+
+
+def _streamed(marked: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Sections as streams; rows_of(doc, section, no, paragraph) gives the rows of each paragraph as it closes."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    arrow = pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, a, no, rows = None, None, 0, []
 
+        def take(closed: Iterator[list[tuple[str, int]]]) -> None:
+            nonlocal no
+            for p in closed:
+                rows.extend(rows_of(*key, no, p))
+                no += 1
 
-def _paragraphs(pdf: pd.DataFrame) -> list[list[tuple[str, int]]]:
-    pdf = pdf.sort_values(["page_ord", "ord"])
-    blocks = _spaced(pdf)
-    if len(pdf) and bool(pdf.page_division.iloc[0]):
-        by_page: dict[int, list] = {}
-        for t, p in blocks:
-            by_page.setdefault(p, []).append((t, p))
-        return [*by_page.values()]
-    a, out = Assembler(), []
-    for t, p in blocks:
-        out += a.feed(t, p)
-    return [*out, *a.finish()]
+        def out() -> pa.RecordBatch:
+            cols = [*zip(*rows)] if rows else [[]] * len(arrow)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["doc_id"], r["section"]) != key:
+                    if key is not None:
+                        take(a.finish())
+                    key, no, a = (r["doc_id"], r["section"]), 0, _ByPage() if r["page_division"] else Assembler()
+                if text := _spaced(r):
+                    take(a.feed(text, r["page_id"]))
+            yield out()
+        if key is not None:
+            take(a.finish())
+        yield out()
 
-def _grouped(marked: DataFrame) -> DataFrame:
-    cols = ["doc_id", "section", "page_id", "page_ord", "ord", "text", "lang", "is_head", "after_end", "long_proposition", "page_division"]
-    return sections(materialise(marked)).select(*cols)
+    fed = sections(materialise(marked)).select(*_FED)
+    fed = fed.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "page_ord", "ord")
+    return fed.mapInArrow(run, schema)
 
 
 def paragraphs(marked: DataFrame) -> DataFrame:
     """(doc_id, section, para_no, page_id, total_text, n_blocks) of all documents."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, sec = int(pdf.doc_id.iloc[0]), int(pdf.section.iloc[0])
-        rows = [(doc, sec, k, p[0][1], K.unmasked("".join(t for t, _ in p)), len(p)) for k, p in enumerate(_paragraphs(pdf))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PARAGRAPHS.split(", ")])
+    def rows(doc: int, sec: int, no: int, p: list[tuple[str, int]]) -> list[tuple]:
+        return [(doc, sec, no, p[0][1], K.unmasked("".join(t for t, _ in p)), len(p))]
 
-    return _grouped(marked).groupBy("doc_id", "section").applyInPandas(run, PARAGRAPHS)
+    return _streamed(marked, rows, PARAGRAPHS)
 
 
 def exact_sentences(marked: DataFrame, deep: bool = False) -> DataFrame:
     """(doc_id, section, para_no, sent_no, page_id, sentence, lang) of all documents."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, sec = int(pdf.doc_id.iloc[0]), int(pdf.section.iloc[0])
-        rows = [
-            (doc, sec, k, n, page, s, K.language_of(s))
-            for k, p in enumerate(_paragraphs(pdf))
-            for n, (s, page) in enumerate(sentences_of(p, deep))
-        ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SENTENCES.split(", ")])
+    def rows(doc: int, sec: int, no: int, p: list[tuple[str, int]]) -> list[tuple]:
+        return [(doc, sec, no, n, page, s, K.language_of(s)) for n, (s, page) in enumerate(sentences_of(p, deep))]
 
-    return _grouped(marked).groupBy("doc_id", "section").applyInPandas(run, SENTENCES)
+    return _streamed(marked, rows, SENTENCES)

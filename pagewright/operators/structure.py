@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.classify import adopted_rule_matches
 from pagewright.operators.layout import body, in_margin, valid
 from pagewright.operators.ordered import carry_forward, previous
 
+#: A line that is a list mark with its period and blank (fixed values: the marks and abbreviations that end no sentence).
+_MARKS = r"[0-9]+|\([0-9]+\)|[0-9]+\)|[①-⑩]|[\x{2160}-\x{217F}]+|[IXV]+|[ixv]+|\s?[a-rA-R]\)?|\([a-rA-R]\)"
+_SHORT_FORMS = r"Fig|FIG|fig|etc|ex|cf|e\.g|i\.e|s\.t|et\sal|et\sseq|U\.S|U\.S\.A|U\.K|u\.s|u\.s\.a|u\.k"
+INDEX_LINE = rf"^(?:{_MARKS}|{_SHORT_FORMS})\.\s$"
 TOC_WORDS = ("目次", "contents", "table of contents", "toc")
 
 
@@ -37,8 +42,9 @@ def toc_blocks(o: DataFrame) -> DataFrame:
 def marked_heads(o: DataFrame, features: DataFrame, adopted_x0: DataFrame) -> DataFrame:
     """Body blocks with what makes a paragraph begin there.
 
-    features: (doc_id, feature, regex, long_proposition, page_division, only_headers); adopted_x0: (doc_id, x0s).
-    Columns: is_headline, page_changed, is_head, after_end (the block before on the page ended a sentence), marked.
+    features: (doc_id, feature, level, rule, long_proposition, page_division, only_headers); adopted_x0: (doc_id, x0s).
+    Columns: is_headline, page_changed, is_head, after_end (the block before on the page ended a sentence), rest (what
+    is left of a headline's text), marked. Headlines are cut out of the text: only their rest goes on.
     """
     lang = T.language(F.col("text"))
     b = body(o).select(
@@ -51,21 +57,48 @@ def marked_heads(o: DataFrame, features: DataFrame, adopted_x0: DataFrame) -> Da
     head_line = T.is_headline(F.col("path"), F.col("text"), F.col("lang"))
     near = F.exists(F.coalesce("x0s", F.array().cast("array<int>")), lambda x: F.abs(x - F.col("x0")) < 5)
     place = F.when(F.col("only_headers"), head_line).otherwise(F.col("path").rlike(T.BODY_PATH))
-    by_rule = place & (~F.col("long_proposition") | near) & F.coalesce(F.expr("text rlike regex"), F.lit(False))
+    by_rule = place & (~F.col("long_proposition") | near) & adopted_rule_matches(F.col("text"))
     changed = F.col("page_id") != F.coalesce("prev_page", F.lit(1))
     b = b.select("*", head_line.alias("is_headline"), changed.alias("page_changed"))
     b = b.withColumn("is_head", F.when(F.col("page_division"), F.col("page_changed")).otherwise(by_rule))
+    b = b.withColumn("rest", F.when(F.col("is_headline"), T.headline(F.trim("text"))["rest"]))
     marked = (
-        F.when(F.col("is_head"), T.paragraph_mark(F.col("text"), F.col("after_end")))
+        F.when(F.col("is_headline"), F.when(F.col("is_head"), F.concat(F.lit("~  "), F.col("rest"))).otherwise(F.col("rest")))
+        .when(F.col("is_head"), T.paragraph_mark(F.col("text"), F.col("after_end")))
         .when(~F.col("long_proposition"), T.paragraph_mark(F.col("text"), F.lit(True)))
         .otherwise(F.col("text"))
     )
     return b.select(
         "doc_id", "page_id", "page_ord", "ord", "block_id", "text", "lang", "is_headline", "page_changed", "is_head", "after_end",
-        "long_proposition", "page_division", marked.alias("marked"),
+        "rest", "long_proposition", "page_division", "path", marked.alias("marked"),
     )
 
 
+def stopped_at_breaks(b: DataFrame) -> DataFrame:
+    """Blocks of each page up to the first whose path is that of the page's last one; the page's text goes on, if at all,
+    on the next page. Where paths number their elements that is the last block; where they do not, blocks are lost, so
+    this is only done where asked for. b: the blocks of ``marked_heads``.
+    """
+    body_path = F.when(~F.col("path").rlike("Figure|Table|Footnote"), F.col("path"))
+    page = Window.partitionBy("doc_id", "page_id")
+    b = b.withColumn("_break", F.max_by(body_path, F.when(body_path.isNotNull(), F.col("ord"))).over(page))
+    stop = F.min(F.when(F.col("path") == F.col("_break"), F.col("ord"))).over(page)
+    return b.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))).drop("_break", "_stop")
+
+
+def toc_entries(o: DataFrame, toc: DataFrame) -> DataFrame:
+    """(doc_id, page_id, ord, entry): lines of tables of contents; a list mark alone leads in the line after it, also
+    across pages, and without one it gives no entry."""
+    t = toc.join(o.select("block_id", "page_ord", "ord", F.regexp_replace("text", "\n", "").alias("line")), "block_id")
+    mark = F.concat(F.trim("line"), F.lit(" ")).rlike(INDEX_LINE)
+    t = previous(t.withColumn("mark", mark), F.col("mark"), "after_mark", ["page_ord", "ord"])
+    begins = ~F.coalesce("after_mark", F.lit(False))
+    t = carry_forward(t, F.when(begins, F.col("block_id")), "entry_of", ["page_ord", "ord"])
+    whole = t.groupBy("doc_id", "entry_of").agg(F.sort_array(F.collect_list(F.struct("page_ord", "ord", "page_id", "line", "mark"))).alias("x"))
+    last = F.element_at("x", -1)
+    return whole.where(~last["mark"]).select("doc_id", last["page_id"].alias("page_id"), last["ord"].alias("ord"), F.concat_ws("", "x.line").alias("entry"))
+
+
 def headlines(o: DataFrame) -> DataFrame:
     """(block_id, headline, rest) of the headlines."""
     b = body(o).withColumn("lang", T.language(F.col("text")))

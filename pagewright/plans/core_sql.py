@@ -36,16 +36,16 @@ def _spaced(t: str, lang: str) -> str:
     return f"CASE {lang} WHEN 'ja_JP' THEN regexp_replace({t}, '([。.~]){W}+', '\\1 ', 'g') WHEN 'en_US' THEN regexp_replace({t}, '([.?!~]){W}+', '\\1 ', 'g') ELSE {t} END"
 
 
-def _labels(c: str) -> str:
-    found = f"regexp_extract_all(lower({_half(c)}), {_q(T.LABEL)}, 1)"
-    return f"list_transform({found}, lambda x: replace(x, ' ', ''))"
-
+# Labels one after the other: the state is what was found, parted by chr(1), then chr(2) and the text that is left.
+_LABEL_SQL = "(fig|figure|image|table|scheme|図|表|画像)+[.\\- \\x{3000}]*[0-9]+"
 
-_FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
-
-def _distinct_labels(c: str) -> str:
-    return _FIRST_SEEN.format(_labels(c))
+def _labels(c: str) -> str:
+    text = f"lower({_half(c)})"
+    t, hit = "split_part(s, chr(2), 2)", f"regexp_extract(split_part(s, chr(2), 2), {_q(_LABEL_SQL)})"
+    step = f"CASE WHEN {hit} = '' THEN s ELSE split_part(s, chr(2), 1) || replace({hit}, ' ', '') || chr(1) || chr(2) || replace({t}, {hit}, '') END"
+    runs = f"list_prepend(chr(2) || {text}, regexp_extract_all({text}, '[0-9]+'))"
+    return f"list_filter(string_split(split_part(list_reduce({runs}, lambda s, x: {step}), chr(2), 1), chr(1)), lambda x: x <> '')"
 
 
 # Blocks and pages without repeated rows, y counted from the top.
@@ -73,8 +73,8 @@ n5 AS (SELECT doc_id, page_id, block_id, list_filter(list_transform(string_split
 sentences AS (SELECT doc_id, page_id, block_id, unnest(range(len(ss)))::INT AS sent_no, unnest(ss) AS sentence FROM n5)"""
 
 _CONTENTS = "c AS (SELECT DISTINCT * FROM contents)"
-_CAPTIONS = f"""cap0 AS (SELECT *, {_distinct_labels('text')} AS ls FROM o WHERE regexp_matches(path, '/Caption')),
-cap AS (SELECT doc_id, page_id, ord, block_id, unnest(ls) AS label, trim(text) AS meta, x0, top AS y0 FROM cap0)"""
+_CAPTIONS = f"""cap0 AS (SELECT *, {_labels('text')} AS ls FROM o WHERE regexp_matches(path, '/Caption')),
+cap AS (SELECT doc_id, page_id, ord, block_id, unnest(ls) AS label, unnest(range(len(ls))) AS label_no, trim(text) AS meta, x0, top AS y0 FROM cap0)"""
 _NEAR = f"""{_BASE}, {_CONTENTS}, {_CAPTIONS},
 dist AS (SELECT c.content_id, cap.ord AS cap_ord, cap.label, sqrt((c.x0 - cap.x0) ** 2 + (c.y0 - cap.y0) ** 2) AS upper,
   sqrt((c.x0 - cap.x0) ** 2 + (c.y1 - cap.y0) ** 2) AS lower FROM c JOIN cap USING (doc_id, page_id)),
@@ -111,12 +111,12 @@ _CT = "ct AS (SELECT doc_id, text FROM heads UNION ALL SELECT doc_id, title FROM
 _SLIDES = """votes AS (SELECT doc_id, avg(CASE WHEN (abs(width / height - 4.0 / 3.0) < 0.01 OR abs(width / height - 16.0 / 9.0) < 0.01) AND main_font_size > 16 THEN 1.0 ELSE 0.0 END)::DOUBLE AS slide_share
   FROM (SELECT DISTINCT * FROM pages) GROUP BY doc_id)"""
 _LINKED = f"""{_SENTENCES}, {_CONTENTS},
-lab AS (SELECT doc_id, page_id, block_id, sent_no, unnest({_distinct_labels('sentence')}) AS label FROM sentences),
+lab AS (SELECT doc_id, page_id, block_id, sent_no, unnest({_labels('sentence')}) AS label FROM sentences),
 cl AS (SELECT content_id, doc_id, page_id, ord, kind, path, coalesce(replace(lower({_half('label')}), ' ', ''), '') AS label FROM c),
 unref AS (SELECT cl.* FROM cl WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.doc_id = cl.doc_id AND lab.label = cl.label))"""
 _FLAGS = f"""{_BASE}, l AS (SELECT *, {_lang('text')} AS lg FROM body)"""
 _HEAD = f"regexp_matches(path, {_q(T.HEAD_PATH)}) AND NOT ({_ends('trim(text)', 'lg')})"
-_LONG = _q(r"^((?:[0-9]+|\([0-9]+\)|[0-9]+\)|[\x{2460}-\x{2469}]|[\x{2160}-\x{2169}]+)[.\-\s].+?\s.+?\s)(.*)$")
+_LONG = _q(r"^((?:[0-9]+|\([0-9]+\)|[0-9]+\)|[\x{2460}-\x{2469}]|[\x{2160}-\x{2169}]+)[.\-\s](?:.+?\s){2})(.*)$")
 
 SQL = {
     "sentence_split": f"{_SENTENCES} SELECT * FROM sentences",
@@ -165,7 +165,7 @@ SQL = {
         SELECT doc_id, CASE WHEN slide_share > 0.8 THEN 'presentation' ELSE coalesce(feature, 'other') END AS feature,
           CASE WHEN slide_share > 0.8 THEN 0 ELSE coalesce(frequency, 0) END::BIGINT AS frequency FROM votes LEFT JOIN best USING (doc_id)""",
     "slide_vote": f"WITH {_SLIDES} SELECT doc_id, slide_share, slide_share > 0.8 AS is_slides FROM votes",
-    "label_extract": f"""WITH b AS (SELECT block_id, {_distinct_labels('text')} AS ls FROM (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL))
+    "label_extract": f"""WITH b AS (SELECT block_id, {_labels('text')} AS ls FROM (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL))
         SELECT block_id, unnest(range(len(ls)))::INT AS label_no, unnest(ls) AS label FROM b""",
     "caption_labels": f"{_BASE}, {_CAPTIONS} SELECT block_id, label, meta FROM cap",
     "nearest_caption": f"{_NEAR} SELECT content_id, upper_label, round(upper_distance, 6) AS upper_distance, lower_label, round(lower_distance, 6) AS lower_distance FROM near",
@@ -209,7 +209,19 @@ SQL = {
 }
 
 _PLACE = f"CASE WHEN only_headers THEN is_headline ELSE regexp_matches(path, {_q(T.BODY_PATH)}) END"
-_RULE = "CASE feature || rule " + " ".join(f"WHEN '{r.feature}{r.no}' THEN regexp_matches(text, {_q(r.regex)})" for r in classify.INDEX_RULES) + " ELSE false END"
+_GROUP = "regexp_extract(text, '^[(|【](.+?)[)|】].*$', 1)"
+_RULE = f"""CASE feature || rule
+  WHEN 'japanese_legal0' THEN length({_GROUP}) >= 2 AND NOT regexp_matches({_GROUP}, '[0-9a-zA-Z]')
+  WHEN 'japanese_legal1' THEN regexp_matches(text, '^第[0-9]*.*条')
+  WHEN 'english_legal0' THEN regexp_matches(text, '^(Article|ARTICLE)')
+  WHEN 'english_legal1' THEN regexp_matches(text, '^[0-9].*\\.[\\s\\x{{3000}}\\x{{00A0}}]')
+  WHEN 'english_legal2' THEN regexp_matches(text, '^[\\x{{2160}}-\\x{{2169}}].*\\.[\\s\\x{{3000}}\\x{{00A0}}]')
+  WHEN 'english_legal3' THEN regexp_matches(text, '^[IXV]+\\.[\\s\\x{{3000}}\\x{{00A0}}]')
+  WHEN 'general0' THEN regexp_matches(text, '^[0-9]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
+  WHEN 'general1' THEN regexp_matches(text, '^[\\x{{2160}}-\\x{{2169}}]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
+  WHEN 'general2' THEN regexp_matches(text, '^[IXV]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
+  ELSE false END"""
+_REST = f"CASE WHEN length(trim(text)) > 50 AND regexp_matches(trim(text), {_LONG}) THEN regexp_extract(trim(text), {_LONG}, 2) ELSE '' END"
 
 
 def _mark(after: str) -> str:
@@ -227,4 +239,4 @@ m AS (SELECT l.*, tr.feature, tr.rule, tr.long_p, tr.by_page, tr.only_headers, t
   page_id <> coalesce(lag(page_id) OVER (PARTITION BY doc_id ORDER BY page_ord, ord), 1) AS page_changed FROM l JOIN tr USING (doc_id)),
 h AS (SELECT *, CASE WHEN by_page THEN page_changed ELSE ({_PLACE}) AND (NOT long_p OR coalesce(len(list_filter(x0s, lambda v: abs(v::INT - x0) < 5)), 0) > 0) AND coalesce({_RULE}, false) END AS is_head FROM m)
 SELECT block_id, is_headline, page_changed, is_head, after_end,
-  CASE WHEN is_head THEN {_mark('after_end')} WHEN NOT long_p THEN {_mark('true')} ELSE text END AS marked FROM h"""
+  CASE WHEN is_headline THEN CASE WHEN is_head THEN '~  ' ELSE '' END || {_REST} WHEN is_head THEN {_mark('after_end')} WHEN NOT long_p THEN {_mark('true')} ELSE text END AS marked FROM h"""

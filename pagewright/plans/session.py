@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where it is unset (tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir.
+
+    Only where executors are threads of this process (tests, one machine) a folder of the machine takes its place; on a
+    cluster each machine would have its own, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-ckpt-"))
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="pagewright-ckpt-")
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -29,20 +40,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table that is used several times as Parquet in the shared folder and read it back.
 
     Like a checkpoint it survives the loss of executors, but it is compressed and columnar, so each use reads
-    only the columns it needs. The folder is removed when the driver's process ends.
+    only the columns it needs. The folder is removed when the driver's process ends, or with ``tables_of``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written within when it ends, as a micro-batch does once its result is written."""
+    begun = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[begun:]:
+            _remove(spark, path)
+        del _written[begun:]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

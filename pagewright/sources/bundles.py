@@ -31,9 +31,10 @@ def _ordered(nodes: DataFrame) -> DataFrame:
 def bundle_tables(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, pages, contents) in the engine's schema, doc_id being the bundle's.
 
-    Title blocks that repeat the document's title are dropped, y is counted from the top, and elements without a page
-    or without four Bounds give no block or content; pages that the payload does not describe have the size of what
-    is on them. Only pages with a block exist.
+    Title blocks that repeat the document's title are dropped, after they counted for their page's origin and font; y is
+    counted from the top, and elements without a page or without four Bounds give no block or content; pages that the
+    payload does not describe have the size of what is on them. Only pages with a text exist, in the order in which
+    they first appear.
     """
     nodes = nested_nodes(bundles)
     e = _ordered(nodes).drop("width", "height").withColumn("doc_id", F.col("bundle_id"))
@@ -41,22 +42,24 @@ def bundle_tables(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     title = e.where(F.col("path").rlike(T.TITLE_PATH) & (F.col("text") != "")).groupBy("bundle_id").agg(F.min_by("text", "ord").alias("title"))
     placed = e.where("page_id >= 1 and x0 is not null")
     texts = placed.where("text is not null").join(title, "bundle_id", "left")
-    texts = texts.where(~(F.col("path").rlike(T.TITLE_PATH) & F.coalesce(F.col("text") == F.col("title"), F.lit(False))))
     page = texts.groupBy("bundle_id", "page_id", "title").agg(
         F.max("x1").alias("mx"), F.max("y1").alias("my"), F.min_by("y0", "ord").alias("fy"), F.min("ord").alias("first")
     )
-    page = page.join(sizes, ["bundle_id", "page_id"], "left").withColumns({"width": F.coalesce("w", "mx"), "height": F.coalesce("h", "my")})
+    page = page.join(sizes, ["bundle_id", "page_id"], "left").withColumns({
+        "width": F.coalesce("w", "mx"), "height": F.coalesce("h", "my"),
+        "page_ord": F.row_number().over(Window.partitionBy("bundle_id").orderBy("first")),
+    })
     fonts = main_font_sizes(texts.select("doc_id", "page_id", F.coalesce("text_size", F.lit(0.0)).alias("font_size"), "text", "ord"))
     pages = page.select(
-        F.col("bundle_id").alias("doc_id"), F.col("page_id").cast("int").alias("page_id"), F.col("page_id").cast("int").alias("page_ord"),
-        "width", "height", "title", "fy",
-    ).join(fonts.withColumn("page_id", F.col("page_id").cast("int")), ["doc_id", "page_id"])
-    flip = pages.select("doc_id", "page_id", "height", (F.col("fy") > F.col("height") / 2).alias("up"))
+        F.col("bundle_id").alias("doc_id"), F.col("page_id").cast("int").alias("page_id"), "page_ord", "width", "height", "title", "fy"
+    ).join(fonts.withColumn("page_id", F.col("page_id").cast("int")), ["doc_id", "page_id"])
+    flip = pages.select("doc_id", "page_id", "page_ord", "height", (F.col("fy") > F.col("height") / 2).alias("up"))
     top = F.when(F.col("up"), F.col("height") - F.col("y1")).otherwise(F.col("y0"))
     bottom = F.when(F.col("up"), F.col("height") - F.col("y0")).otherwise(F.col("y1"))
     turned = lambda d: d.withColumn("page_id", F.col("page_id").cast("int")).join(flip, ["doc_id", "page_id"])
-    blocks = turned(texts).select(
-        F.xxhash64("bundle_id", "node_pos").alias("block_id"), "doc_id", "page_id", F.col("page_id").alias("page_ord"), "ord", "path", "text",
+    said = texts.where(~(F.col("path").rlike(T.TITLE_PATH) & F.coalesce(F.col("text") == F.col("title"), F.lit(False))))
+    blocks = turned(said).select(
+        F.xxhash64("bundle_id", "node_pos").alias("block_id"), "doc_id", "page_id", "page_ord", "ord", "path", "text",
         F.coalesce("text_size", F.lit(0.0)).alias("font_size"), "x0", top.alias("y0"), "x1", bottom.alias("y1"),
     )
     files = nodes.where("kind = 'file'").select("bundle_id", F.col("parent_pos").alias("node_pos"), F.col("node_pos").alias("file_pos"), F.col("text").alias("file"))

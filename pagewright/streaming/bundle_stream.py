@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.operators.nested import nested_nodes
+from pagewright.plans.session import tables_of
 
 
 def stream_bundles(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -27,6 +28,7 @@ def stream_knowledge(bundles: DataFrame, out: str, checkpoint: str) -> Streaming
     from pagewright.api import analyze_bundles
 
     def each(batch: DataFrame, epoch: int) -> None:
-        analyze_bundles(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        with tables_of(batch.sparkSession):
+            analyze_bundles(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
     return bundles.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

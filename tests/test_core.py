@@ -52,11 +52,11 @@ def test_normalised(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("see fig. 1 and Fig. 12", ["fig.1", "fig.12"]), ("Ｆｉｇ．１ Table-2", ["fig.1", "table-2"]), ("figfig 3", ["figfig3"]), ("図 4と表５", ["図4", "表5"]), ("none", [])],
+    [("see fig. 1 and Fig. 12", ["fig.1"]), ("see fig. 12 and fig. 1", ["fig.12", "fig.1"]), ("fig.1, fig. 1", ["fig.1", "fig.1"]), ("Fig. ① and table ⑩", ["fig.1", "table10"]), ("Ｆｉｇ．１ Table-2", ["fig.1", "table-2"]), ("figfig 3", ["figfig3"]), ("図 4と表５", ["図4", "表5"]), ("none", [])],
 )
 def test_labels(spark, text, want):
-    assert one(spark, T.labels, text) == want
-    assert api.existLabel(text) == bool(want)
+    assert one(spark, T.labels, text) == want == api.getLabels(text)
+    assert one(spark, T.exists_label, text) == bool(want) == api.existLabel(text)
 
 
 def test_label_kernel_deletes_hits_everywhere():
