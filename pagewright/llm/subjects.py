@@ -40,7 +40,7 @@ GENERAL, ADVERT = "general", "advert"
 _TAG = re.compile(r"\[(/?)quote\b[^\]\n]*\]|<(/?)blockquote\b[^>\n]*>", re.I)
 _FORWARD = re.compile(r"^[ \t>]*-{3,}\s*(?:Original Message|Ursprüngliche Nachricht|Message d.origine|Mensaje original|元のメッセージ|Forwarded message)\s*-{3,}.*\Z", re.I | re.M | re.S)
 _QUOTED = re.compile(r"^[ \t]*(?:>|&gt;|\|\s).*$", re.M)
-_LEAD = re.compile(r"^[^\n]{0,120}(?:\bwrote|\bschrieb|\bescribió|\ba écrit|\bsaid|さんは?書きました|さんの投稿)\s?:[ \t]*$", re.I | re.M)
+_LEAD = re.compile(r"(?:\b(?:wrote|schrieb|escribió|a écrit|said)|さんは?書きました|さんの投稿)\s?:[ \t]*$", re.I | re.M)
 _LEAD_NAME = re.compile(r"^[ \t]*[\w.-]{2,40}\s(?:wrote|schrieb|escribió|a écrit)\s?:[ \t]*", re.I | re.M)
 _CODE = re.compile(r"\[code\].*?(?:\[/code\]|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)", re.I | re.S)
 _SIGNATURES = (
@@ -95,6 +95,21 @@ def _cut_tags(text: str) -> str:
     return "".join([*out, text[last:]])
 
 
+def _cut_leads(text: str) -> str:
+    """Without the lines that lead in a quotation, such as ``... wrote:``; a long line that ends so is no such line."""
+    out, last = [], 0
+    for m in _LEAD.finditer(text):
+        begin = text.rfind("\n", 0, m.start()) + 1
+        if m.start() - begin <= LEAD_CHARS:
+            out.append(text[last:begin])
+            last = m.end()
+    return "".join([*out, text[last:]]) if out else text
+
+
+#: A line that leads in a quotation has at most so many characters before its verb.
+LEAD_CHARS = 120
+
+
 def own_words(text: str | None) -> str:
     """The author's own words of a post."""
     if not text:
@@ -102,7 +117,7 @@ def own_words(text: str | None) -> str:
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     t = _cut_tags(t)
     t = _FORWARD.sub("", t)
-    t = _LEAD.sub("", _QUOTED.sub("", _LEAD_NAME.sub("", t)))
+    t = _cut_leads(_QUOTED.sub("", _LEAD_NAME.sub("", t)))
     t = _CODE.sub("\n", t)
     for s in _SIGNATURES:
         t = s.sub("\n", t)
@@ -189,7 +204,8 @@ class Grams:
         mixed = ((h[:-1] * 1_000_003) ^ (h[1:] * 2_654_435_761)) >> 7
         ids = np.concatenate([h[one], mixed[two], np.array(dense, np.int64)]) % BUCKETS
         text = np.concatenate([of[one], of[1:][two], np.array(owner, np.int64)])
-        key = np.unique(text * BUCKETS + ids)
+        key = np.sort(text * BUCKETS + ids)
+        key = key[np.diff(key, prepend=-1) > 0]
         return key % BUCKETS, np.bincount(key // BUCKETS, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
 
     def split(self, texts: list[str]) -> list[np.ndarray]:
@@ -251,10 +267,10 @@ class Subjects:
         out: list[list[str]] = [[] for _ in posts]
         n_sent, votes, ads = Counter(owner), defaultdict(Counter), Counter()
         advert = self.names.index(ADVERT) if ADVERT in self.names else -1
-        for k, h, t in zip(owner, hit, top):
-            for j in np.flatnonzero(h):
-                votes[k][self.names[j]] += 1
-            ads[k] += bool(h[advert]) and t == advert
+        for k, j in zip(*(x.tolist() for x in np.nonzero(hit))):
+            votes[owner[k]][self.names[j]] += 1
+        if advert >= 0:
+            ads.update(owner[k] for k in np.flatnonzero(hit[:, advert] & (top == advert)).tolist())
         for k in n_sent:
             got = votes[k]
             if ads[k] * 2 >= n_sent[k]:
