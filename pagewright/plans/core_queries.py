@@ -228,11 +228,11 @@ def table_tsv(s, d):
 
 
 def bundle_blocks(s, d):
-    return bundle_tables(table(s, d, "bundles"))[0]
+    return bundle_tables(table(s, d, "bundles"))[0].drop("block_id")  # a hash; doc_id and ord say the same
 
 
 def bundle_contents(s, d):
-    return bundle_tables(table(s, d, "bundles"))[2]
+    return bundle_tables(table(s, d, "bundles"))[2].drop("label", "meta")  # not known before captions are
 
 
 def bundle_knowledge(s, d):

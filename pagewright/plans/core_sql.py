@@ -240,3 +240,36 @@ m AS (SELECT l.*, tr.feature, tr.rule, tr.long_p, tr.by_page, tr.only_headers, t
 h AS (SELECT *, CASE WHEN by_page THEN page_changed ELSE ({_PLACE}) AND (NOT long_p OR coalesce(len(list_filter(x0s, lambda v: abs(v::INT - x0) < 5)), 0) > 0) AND coalesce({_RULE}, false) END AS is_head FROM m)
 SELECT block_id, is_headline, page_changed, is_head, after_end,
   CASE WHEN is_headline THEN CASE WHEN is_head THEN '~  ' ELSE '' END || {_REST} WHEN is_head THEN {_mark('after_end')} WHEN NOT long_p THEN {_mark('true')} ELSE text END AS marked FROM h"""
+
+SQL["reference_gate"] = f"""{_BASE}, r AS (SELECT doc_id, page_ord, ord, trim(text) AS t FROM g WHERE NOT in_margin AND NOT contains(coalesce(path, ''), 'Footnote')),
+m AS (SELECT *, regexp_matches({_half('lower(t)')}, 'references|参考|文献|参照') AS titled,
+  regexp_matches(t, '^\\[.+.+$') OR regexp_matches(t, '^\\[\\(|（][0-9]+[\\)|）].+$') OR regexp_matches(t, '^[0-9]+[\\)|）|\\.|　|\\s].+$') AS starts FROM r),
+x AS (SELECT doc_id, max(CASE WHEN titled THEN (page_ord, ord) END) AS title, max(CASE WHEN starts THEN (page_ord, ord) END) AS start_ FROM m GROUP BY doc_id)
+SELECT doc_id, title[1] AS title_page, coalesce(start_ IS NOT NULL AND (title IS NULL OR start_ >= title), false) AS has_start FROM x WHERE title IS NOT NULL OR start_ IS NOT NULL"""
+
+SQL["table_tsv"] = f"""WITH n_ AS ({SQL['table_normalize']}),
+lines AS (SELECT content_id, row_no, string_agg(coalesce(value, ''), chr(9) ORDER BY col_no) AS line FROM n_ GROUP BY ALL)
+SELECT content_id, string_agg(line, chr(10) ORDER BY row_no) AS value FROM lines GROUP BY content_id"""
+
+# Contents in document order, one step each. Chosen above: used from the next page on; below: at once, on the page.
+
+def _pick(side: str, used: str) -> str:
+    """Of the captions within the radius whose label is not used, the nearest; of equals the first of the page."""
+    near = f"list_filter(caps, lambda c: c.{side} < 150 AND NOT list_contains({used}, c.label))"
+    return f"list_sort(list_transform({near}, lambda c: {{'d': c.{side}, 'o': c.cap_ord, 'n': c.label_no, 'label': c.label, 'meta': c.meta}}))[1]"
+
+
+SQL["label_assign"] = f"""{_BASE.replace('WITH b AS', 'WITH RECURSIVE b AS')}, {_CONTENTS}, {_CAPTIONS},
+d AS (SELECT c.content_id, list({{'cap_ord': cap.ord, 'label_no': cap.label_no, 'label': cap.label, 'meta': cap.meta,
+  'upper': sqrt((c.x0 - cap.x0) ** 2 + (c.y0 - cap.y0) ** 2), 'lower': sqrt((c.x0 - cap.x0) ** 2 + (c.y1 - cap.y0) ** 2)}}) AS caps FROM c JOIN cap USING (doc_id, page_id) GROUP BY c.content_id),
+q AS (SELECT c.doc_id, c.kind, c.page_id, c.content_id, coalesce(d.caps, []) AS caps, row_number() OVER (PARTITION BY c.doc_id, c.kind ORDER BY c.page_id, c.ord, c.content_id) AS k FROM c LEFT JOIN d USING (content_id)),
+w AS (SELECT doc_id, kind, 0::BIGINT AS k, NULL::INT AS page_id, NULL::VARCHAR AS content_id, []::VARCHAR[] AS used, []::VARCHAR[] AS later, []::VARCHAR[] AS low,
+    NULL::STRUCT(d DOUBLE, o INT, n BIGINT, label VARCHAR, meta VARCHAR) AS up, NULL::STRUCT(d DOUBLE, o INT, n BIGINT, label VARCHAR, meta VARCHAR) AS dn FROM (SELECT DISTINCT doc_id, kind FROM q)
+  UNION ALL
+  SELECT doc_id, kind, k, page_id, content_id, used, CASE WHEN up IS NULL THEN later ELSE list_append(later, up.label) END, CASE WHEN dn IS NULL THEN low ELSE list_append(low, dn.label) END, up, dn
+  FROM (SELECT *, {_pick('upper', 'used')} AS up, {_pick('lower', 'low')} AS dn
+    FROM (SELECT q.doc_id, q.kind, q.k, q.page_id, q.content_id, q.caps, w.later,
+        CASE WHEN w.page_id IS DISTINCT FROM q.page_id THEN w.later ELSE w.used END AS used, CASE WHEN w.page_id IS DISTINCT FROM q.page_id THEN []::VARCHAR[] ELSE w.low END AS low
+      FROM w JOIN q ON q.doc_id = w.doc_id AND q.kind = w.kind AND q.k = w.k + 1))),
+v AS (SELECT doc_id, kind, sum((coalesce(up.d, 'inf'::DOUBLE) <= coalesce(dn.d, 'inf'::DOUBLE))::INT) > sum((coalesce(dn.d, 'inf'::DOUBLE) <= coalesce(up.d, 'inf'::DOUBLE))::INT) AS above FROM w WHERE k > 0 GROUP BY doc_id, kind)
+SELECT doc_id, kind, content_id, coalesce(CASE WHEN above THEN up.label ELSE dn.label END, '') AS label, coalesce(CASE WHEN above THEN up.meta ELSE dn.meta END, '') AS meta FROM w JOIN v USING (doc_id, kind) WHERE k > 0"""

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice, product
 from xml.etree import ElementTree
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pagewright.operators.contents import normal_cells
 
 CELLS = "content_id string, row_no int, col_no int, cell_value string"
+#: Cells of a grid that are made at once.
+GRID_ROWS = 50_000
 _REF = re.compile(r"([A-Z]+)([0-9]+)")
 
 
@@ -56,14 +59,13 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for p, data in zip(pdf.path, pdf.content):
-                got = sheet_cells(bytes(data))
                 name = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                if got:  # gaps within the table's extent are null, as merged cells leave them
-                    by = {(r, c): v for r, c, v in got}
-                    rows += [(name, r, c, by.get((r, c))) for r in range(max(k[0] for k in by) + 1) for c in range(max(k[1] for k in by) + 1)]
-            yield pd.DataFrame(rows, columns=["content_id", "row_no", "col_no", "cell_value"])
+                # Gaps within the table's extent are null, as merged cells leave them; they are made a piece at a time.
+                by = {(r, c): v for r, c, v in sheet_cells(bytes(data))}
+                grid = product(range(max((r for r, _ in by), default=-1) + 1), range(max((c for _, c in by), default=-1) + 1))
+                while piece := [(name, *at, by.get(at)) for at in islice(grid, GRID_ROWS)]:
+                    yield pd.DataFrame(piece, columns=["content_id", "row_no", "col_no", "cell_value"])
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 

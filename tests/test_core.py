@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import io
+import math
+import random
 import zipfile
 
 import pytest
@@ -236,6 +238,148 @@ def test_captions_used_up(spark):
     assert got == {"a": "fig.1", "b": ""}
 
 
+CONTENT = "doc_id long, kind string, page_id int, ord int, content_id string, label string, path string, x0 double, y0 double, x1 double, y1 double"
+CAPTION = "doc_id long, page_id int, ord int, block_id long, label_no int, label string, meta array<string>, x0 double, y0 double"
+
+
+def labels_by_force(contents_, caps):
+    """Every content of a document and kind, one after the other."""
+    out = {}
+    for key in sorted({(c[0], c[1]) for c in contents_}):
+        used, later, low, page, votes, up, down = set(), set(), set(), None, 0, {}, {}
+        for c in sorted((c for c in contents_ if (c[0], c[1]) == key), key=lambda c: (c[2], c[3], c[4])):
+            if c[2] != page:
+                used, low, page = set(later), set(), c[2]
+            best = []
+            for y, gone in ((c[8], used), (c[10], low)):
+                near = [(math.hypot(c[7] - k[7], y - k[8]), k[2], k[4], k[5]) for k in caps if k[0] == c[0] and k[1] == c[2] and k[5] not in gone]
+                best.append(min((x for x in near if x[0] < 150), default=(math.inf, 0, 0, "")))
+            up[c[4]], down[c[4]] = best[0][3], best[1][3]
+            later |= {best[0][3]} - {""}
+            low |= {best[1][3]} - {""}
+            votes += (best[0][0] <= best[1][0]) - (best[1][0] <= best[0][0])
+        out.update(up if votes > 0 else down)
+    return out
+
+
+def test_labels_against_brute_force(spark):
+    rnd = random.Random(8)
+    cs, caps = [], []
+    for doc in range(1, 9):
+        for page in range(1, 7):
+            for k in range(rnd.randint(0, 4)):
+                y = rnd.uniform(50, 700)
+                cs.append((doc, rnd.choice(["IMAGE", "TABLE"]), page, k, f"{doc}.{page}.{k}", None, "p", 72.0 + rnd.choice([0.0, 30.0]), y, 300.0, y + rnd.uniform(20, 90)))
+            for k in range(rnd.randint(0, 3)):  # labels come back on other pages
+                caps.append((doc, page, 100 + k, doc * 1000 + page * 10 + k, 0, f"fig.{rnd.randint(1, 4)}", ["m"], 72.0 + rnd.choice([0.0, 30.0]), rnd.uniform(50, 700)))
+    got = {r.content_id: r.label for r in contents.assign_labels(spark.createDataFrame(cs, CONTENT), spark.createDataFrame(caps, CAPTION)).collect()}
+    assert got == labels_by_force(cs, caps) and len(set(got.values())) > 3
+    none = contents.assign_labels(spark.createDataFrame(cs, CONTENT), spark.createDataFrame([], CAPTION)).collect()
+    assert {r.label for r in none} == {""} and len(none) == len(cs)
+
+
+def test_long_reference_list_goes_on_over_rounds(spark):
+    lines = ["Body text."] * 5 + ["References"] + [x for k in range(2, 400) for x in (f"[{k}] Author {k}, a title,", "and more of it.")]
+    df = blocks(spark, lines, per_page=10)
+    o = layout.oriented(df, pages(spark, 81))
+    got = references.references(o).collect()
+    entries = [r.reference for r in sorted((r for r in got if r.reference), key=lambda r: (r.page_id, r.seq))]
+    assert entries == [f"[{k}] Author {k}, a title,and more of it." for k in range(2, 400)]
+    assert {r.block_id for r in got if r.block_id is not None} == set(range(6, len(lines)))
+
+
+def test_headlines_are_cut_out_of_the_text(spark):
+    lines = [("//Document/H1", "1. Harbours "), "Ships come in. They leave again.", ("//Document/H1", "2. Of the ferries that cross and of those that do not any more "), "More text here."]
+    o = layout.oriented(blocks(spark, lines), pages(spark))
+    assert {r.block_id: (r.headline, r.rest) for r in structure.headlines(o).collect()} == {0: ("1. Harbours", ""), 2: ("2. Of the ", "ferries that cross and of those that do not any more")}
+    m = structure.marked_heads(o, *classify.feature_traits(o, pages(spark)))
+    assert {r.block_id: r.marked for r in m.collect() if r.is_headline} == {0: "~  ", 2: "~  ferries that cross and of those that do not any more"}
+    s = [r.sentence for r in paragraphs.exact_sentences(m).orderBy("section", "para_no", "sent_no").collect()]
+    # the rest ends no sentence, so it goes on in what follows
+    assert s == ["Ships come in.", "They leave again.", "ferries that cross and of those that do not any more More text here."]
+    k = api.analyze(blocks(spark, lines), pages(spark, title="Ports"), spark.createDataFrame([], CONTENT + ", meta array<string>")).collect()
+    assert not any("Harbours" in r.sentence for r in k) and "1. Harbours" in k[0].page.headlines
+    assert k[0].document.title == "Ports" and k[0].document.url.endswith("/documents/1.pdf") and len({r.proposition_id for r in k}) == len(k)
+
+
+def test_titles(spark):
+    b = blocks(spark, [("//Document/P", "a"), ("//Document/Title", ""), ("//Document/Sect/Title", "The Title"), ("//Document/Title", "Other"), ("//Document/Title", "The Title")])
+    assert layout.document_titles(b).collect() == [(1, "The Title")]
+    assert {r.block_id for r in layout.without_titles(b).collect()} == {0, 1, 3}
+
+
+def test_adopted_rule_keeps_its_group_conditions(spark):
+    lines = [("//Document/H1", f"【目的事項】 第{k}") for k in range(3)] + [("//Document/P", "【A1】 text"), ("//Document/P", "【目的】 text")]
+    o = layout.oriented(blocks(spark, lines), pages(spark, title="業務契約書"))
+    heads = {r.block_id: r.is_head for r in structure.marked_heads(o, *classify.feature_traits(o, pages(spark, title="業務契約書"))).collect()}
+    assert heads == {0: True, 1: True, 2: True, 3: False, 4: True}
+
+
+def test_contents_lists_are_glued(spark):
+    toc = "//Document/TOC/TOCI"
+    lines = [(toc, "1. "), (toc, "Harbours 3"), (toc, "2. Ferries 9"), (toc, "3."), (toc, "Rivers 12"), (toc, "4. ")]
+    o = layout.oriented(blocks(spark, lines, per_page=4), pages(spark, 2))
+    got = structure.toc_entries(o, structure.toc_blocks(o)).orderBy("page_id", "ord").collect()
+    assert [(r.page_id, r.entry) for r in got] == [(1, "1. Harbours 3"), (1, "2. Ferries 9"), (2, "3.Rivers 12")]
+
+
+def test_stop_at_page_breaks(spark):
+    lines = [("//Document/P[1]", "One two."), ("//Document/P[2]", "Three four"), ("//Document/Footnote[1]", "A note."), ("//Document/P[3]", "five six.")]
+    o = layout.oriented(blocks(spark, lines, per_page=3), pages(spark, 2))
+    m = structure.marked_heads(o, *classify.feature_traits(o, pages(spark, 2)))
+    assert {r.block_id for r in structure.stopped_at_breaks(m).collect()} == {0, 1, 3}
+    assert [r.sentence.split() for r in paragraphs.exact_sentences(structure.stopped_at_breaks(m)).orderBy("section", "para_no").collect()][-1] == "Three four five six.".split()
+
+
+def test_ends_within_brackets_close_nothing():
+    a = paragraphs.Assembler()
+    got = [p for t in (" One (see a.  b.) two.  ", " Three.  ") for p in a.feed(t, 1)] + [*a.finish()]
+    assert ["".join(t for t, _ in p).split() for p in got] == ["One (see a. b.) two.".split(), ["Three."]]
+
+
+def test_title_counts_for_origin_and_pages_come_in_their_order(spark):
+    import json
+
+    el = lambda page, path, text, y, size: {"Page": page, "Bounds": [72, y, 500, y + 20], "Path": path, "Text": text, "TextSize": size}
+    top = {
+        "pages": [{"page_number": k, "width": 612, "height": 792} for k in range(2)],
+        "elements": [el(1, "//Document/Title", "A long title of the whole", 700, 22), el(1, "//Document/P", "Low text.", 100, 10), el(0, "//Document/P", "First page.", 50, 10)],
+    }
+    b, p, _ = bundle_tables(spark.createDataFrame([(1, 1, json.dumps(top))], "bundle_id long, doc_id long, payload string"))
+    assert {r.page_id: (r.page_ord, r.main_font_size) for r in p.collect()} == {2: (1, 22), 1: (2, 10)}
+    assert {r.text: (r.page_ord, r.y0) for r in b.collect()} == {"Low text.": (1, 672.0), "First page.": (2, 50.0)}
+
+
+def test_null_places_keep_their_rows(spark):
+    b = blocks(spark, ["One two.", "Three four.", "Five."]).withColumn("page_ord", F.when(F.col("block_id") > 0, F.col("page_ord")))
+    o = layout.oriented(b, pages(spark))
+    assert structure.paragraph_islands(o).agg(F.sum("n_blocks")).first()[0] == 3
+    m = structure.marked_heads(o, *classify.feature_traits(o, pages(spark)))
+    assert paragraphs.exact_sentences(m).count() == 3
+
+
+def test_tables_of_a_batch_are_removed(spark):
+    from pagewright.plans import session
+
+    before = list(session._written)
+    with session.tables_of(spark):
+        df = session.materialise(spark.range(5))
+        assert df.count() == 5 and len(session._written) == len(before) + 1
+    assert session._written == before
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from pagewright.plans import session
+
+    sc = N(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(N(sparkContext=sc, conf=N(get=lambda k, d: d)))
+
+
 def test_analysis_of_bundles(spark):
     import json
 
