@@ -161,9 +161,10 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, epochs: int, seed: int = 5, rate
             gb += db * db
             w -= lr * dw / np.sqrt(gw)
             b -= lr * db / np.sqrt(gb)
-            uniq, inv = np.unique(ids, return_inverse=True)
-            d = np.zeros((len(uniq), DIM), np.float32)
-            np.add.at(d, inv, np.repeat(dh, n, axis=0).astype(np.float32))
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[by], prepend=-1))
+            uniq = ids[by][first]
+            d = np.add.reduceat(dh.astype(np.float32)[np.repeat(np.arange(len(rows)), n)[by]], first, axis=0)
             ge[uniq] += (d * d).mean(1)
             emb[uniq] -= lr * d / np.sqrt(ge[uniq])[:, None]
     return emb @ w, b
