@@ -13,11 +13,11 @@ any length are processed whole.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,25 +39,22 @@ HYPHENS = "‐‑⁃﹣"
 IGNORABLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
 
 
-def _ignorable(c: int) -> bool:
-    return c in IGNORABLE or (unicodedata.category(chr(c)) == "Cf" and not 0x600 <= c <= 0x605 and c not in (0x6DD, 0x70F, 0x8E2))
-
-
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict, dict]:
     """translate() tables: before composition (ignorables, width forms, blanks, hyphens) and for look-alikes."""
-    first: dict[int, str | None] = {}
-    for c in range(sys.maxunicode + 1):
-        if 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xE000 or 0x20000 <= c < 0xE0000:
-            continue
+    first: dict[int, str | None] = dict.fromkeys(IGNORABLE)
+    # Without Han, Hangul syllables and planes for private use, which have none of these properties.
+    for c in chain(range(0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE0200)):
         ch = chr(c)
-        if _ignorable(c):
+        kind = unicodedata.category(ch)
+        if kind == "Cn" or c in first:
+            continue
+        if kind == "Cf" and not 0x600 <= c <= 0x605 and c not in (0x6DD, 0x70F, 0x8E2):
             first[c] = None
             continue
-        parts = unicodedata.decomposition(ch).split()
-        if parts and parts[0] in ("<wide>", "<narrow>"):
+        if unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
             first[c] = unicodedata.normalize("NFKC", ch)
-        if unicodedata.category(ch) == "Zs" or ch == "\t":
+        if kind == "Zs" or ch == "\t":
             first[c] = " "
     first.update({ord(h): "-" for h in HYPHENS} | {0xFF0D: "-"})
     alike = {ord(a): b for letters, latin in LOOK_ALIKES for a, b in zip(letters, latin, strict=True)}
