@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators.layout import FOOTER_RATIO, HEADER_RATIO, distinct_pages, in_margin
+from pagewright.plans.session import materialise
 
 RADIUS = 150.0
 ASPECT = (1 / 20, 20.0)
@@ -28,7 +29,7 @@ def captions(o: DataFrame, every_text: bool = False) -> DataFrame:
 
     With every_text each text with a label is a caption, whatever its path.
     """
-    b = o if every_text else o.where(F.col("path").rlike("/Caption"))
+    b = (o if every_text else o.where(F.col("path").rlike("/Caption"))).where(T.exists_label(F.col("text")))
     return b.select(
         "doc_id", "page_id", "ord", "block_id", F.posexplode(T.labels(F.col("text"))).alias("label_no", "label"),
         F.array(F.trim("text")).alias("meta"), "x0", F.col("top").alias("y0"),
@@ -94,7 +95,7 @@ def assign_labels(contents: DataFrame, caps: DataFrame, radius: float = RADIUS)
     after the other, as a stream that holds the labels used so far; every other page is a unit of its own. Whether
     captions stand above or below is then a sum per document and kind.
     """
-    near = _distances(contents, caps).where((F.col("upper") < radius) | (F.col("lower") < radius))
+    near = materialise(_distances(contents, caps).where((F.col("upper") < radius) | (F.col("lower") < radius)))
     each = near.groupBy("content_id").agg(
         F.sort_array(F.collect_list(F.struct("cap_ord", "cap_no", "cap_label", "cap_meta", "upper", "lower"))).alias("caps")
     )
@@ -179,6 +180,7 @@ def selected(contents: DataFrame, o: DataFrame, pages: DataFrame, caps: DataFram
     if cells is not None:
         full = normal_cells(cells).select("content_id").dropDuplicates().withColumn("full", F.lit(True))
         c = c.join(full, "content_id", "left").where("full or coalesce(kind <> 'TABLE', true)").drop("full")
+    c = materialise(c)
     given = assign_labels(c, caps).where("label <> ''").select("content_id", F.col("label").alias("cap_label"), F.col("meta").alias("cap_meta"))
     c = c.join(given, "content_id", "left")
     c = c.withColumns({"label": F.coalesce("cap_label", "label"), "meta": F.coalesce("cap_meta", "meta")})

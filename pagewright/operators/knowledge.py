@@ -82,7 +82,7 @@ def knowledge(
     key = ["doc_id", "section", "para_no", "sent_no"]
     c = materialise(C.selected(C.distinct_contents(contents), text, pages, C.captions(o, every_caption), cells, images))
     c = labelled(c).join(C.stored_paths(c, base_url).select("content_id", "url"), "content_id").withColumn("meta", F.col("meta"))
-    said = s.where(T.exists_label(F.col("sentence"))).select(*key, F.explode(T.labels(F.col("sentence"))).alias("label"))
+    said = materialise(s.where(T.exists_label(F.col("sentence"))).select(*key, F.explode(T.labels(F.col("sentence"))).alias("label")))
     hit = said.join(c.where("label <> ''"), ["doc_id", "label"])
     once = Window.partitionBy(*key, "url").orderBy("ord", "content_id")
     hit = hit.withColumn("n", F.row_number().over(once)).where("n = 1").withColumn("item", _items(c, base_url, F.col("label"), False))
