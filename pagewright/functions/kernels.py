@@ -18,7 +18,6 @@ _ANY_MASK = re.compile("[\ufdd0-\ufdd4]")
 ENDS = {LANG_JA: "。.~", LANG_EN: ".?!~", LANG_UNKNOWN: ""}
 _HALF = str.maketrans(FULL_WIDTH, HALF_WIDTH)
 _LABEL = re.compile(rf"(?:{LABEL_WORDS})+[.\- 　]*[0-9]+")
-_LABEL_SPACE = re.compile(rf"(?:{LABEL_WORDS})+[.\- 　]*[0-9]+")
 _JA = re.compile("[ぁ-んァ-ヴ々〇⺀-⿕㐀-䶿一-鿿豈-﫿]")
 _INDEX_ALONE = re.compile(r"(?:[0-9]+|\([0-9]+\)|[0-9]+\)|[①-⑩]|[Ⅰ-ⅿ]+|[IXV]+|[ixv]+|[a-rA-R]|\([a-rA-R]\))\Z")
 
@@ -75,7 +74,7 @@ def has_label(text: str | None, is_caption: bool = False) -> bool:
 
 def without_label_spaces(text: str) -> str:
     """``fig. 1`` as ``fig.1``; only where the label is in lower case."""
-    return _LABEL_SPACE.sub(lambda m: m[0].replace(" ", ""), text)
+    return _LABEL.sub(lambda m: m[0].replace(" ", ""), text)
 
 
 def masked_periods(text: str) -> str:

@@ -1,11 +1,22 @@
-"""The results of the core queries in SQL, for comparison on the same tables."""
+"""The results of the core queries in SQL, for comparison on the same tables.
 
-from __future__ import annotations
+Nothing is taken from the engine: patterns, limits and rules are written out here from their definitions, so that a
+wrong one in the engine shows.
+"""
 
-from pagewright.functions import text as T
-from pagewright.operators import classify
+from __future__ import annotations
 
-W = T.WHITE
+W = r"[\s\x{3000}\x{00A0}]"
+FULL_WIDTH, HALF_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　", "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+BIDI = "\u202a\u202b\u202c\u202d\u202e"
+#: Hiragana, katakana, iteration and zero marks, radicals, Han with extension A and compatibility forms.
+KANA_HAN = "[ぁ-んァ-ヴ々〇\u2e80-\u2fd5\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+#: Digits, bare, bracketed or half bracketed; circled digits; Roman numerals; one letter up to r, bare or bracketed.
+INDEX_ALONE = r"^([0-9]+|\([0-9]+\)|[0-9]+\)|[①-⑩]|[\x{2160}-\x{217F}]+|[IXV]+|[ixv]+|[a-rA-R]|\([a-rA-R]\))$"
+TABLE_PATH, TITLE_PATH = "^//Document/(.*)?Table", "^//Document/(Sect/)?Title"
+HEAD_PATH, BODY_PATH = "^//Document/(H|Sect.*/H)", "^//Document/(H|P|L|Sect.*/H|Sect.*/P|Sect.*/L)"
+CAPTION_PATH = "^//Document/(H|L|Title|Sect/Title|Sect.*/H|Sect.*/L)"
+TOC_PATH = "^//Document/(TOC|Reference|(Sect|L).*/TOC|(Sect|L).*/Reference|L/LI.*/Lbl)"
 
 
 def _q(s: str) -> str:
@@ -13,18 +24,18 @@ def _q(s: str) -> str:
 
 
 def _half(c: str) -> str:
-    return f"translate({c}, {_q(T.FULL_WIDTH)}, {_q(T.HALF_WIDTH)})"
+    return f"translate({c}, {_q(FULL_WIDTH)}, {_q(HALF_WIDTH)})"
 
 
 def _lang(c: str) -> str:
     return (
-        f"CASE WHEN {c} IS NULL THEN NULL WHEN regexp_matches({c}, {_q(T.INDEX_ALONE)}) THEN '' WHEN regexp_matches({c}, {_q(T.KANA_HAN)}) THEN 'ja_JP' "
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN regexp_matches({c}, {_q(INDEX_ALONE)}) THEN '' WHEN regexp_matches({c}, {_q(KANA_HAN)}) THEN 'ja_JP' "
         f"WHEN regexp_matches({c}, '^[ -~]*$') OR regexp_matches({c}, '[a-zA-Z]') THEN 'en_US' ELSE '' END"
     )
 
 
 def _clean(c: str) -> str:
-    t = f"replace(translate({c}, {_q(T.BIDI)}, ''), chr(10), '')"
+    t = f"replace(translate({c}, {_q(BIDI)}, ''), chr(10), '')"
     return f"regexp_replace(regexp_replace({_half(t)}, '\\(<http.+?>\\)', '', 'g'), '\\(<>\\)', '', 'g')"
 
 
@@ -57,7 +68,7 @@ o AS (SELECT b.*, p.height, p.width, p.main_font_size, p.title, f.first_y > p.he
   CASE WHEN f.first_y > p.height / 2 THEN p.height - b.y0 ELSE b.y1 END AS bottom
   FROM b JOIN p USING (doc_id, page_id) JOIN f USING (doc_id, page_id)),
 g AS (SELECT *, top <= height * 0.05 OR bottom >= height * (1 - 0.05) AS in_margin, font_size < main_font_size AS is_small,
-  regexp_matches(path, {_q(T.TABLE_PATH)}) AS in_table FROM o),
+  regexp_matches(path, {_q(TABLE_PATH)}) AS in_table FROM o),
 body AS (SELECT * FROM g WHERE NOT in_margin AND NOT is_small),
 valid AS (SELECT * FROM body WHERE NOT in_table)"""
 
@@ -82,19 +93,23 @@ up AS (SELECT content_id, label AS upper_label, upper AS upper_distance FROM dis
 lo AS (SELECT content_id, label AS lower_label, lower AS lower_distance FROM dist WHERE lower < 150 QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY lower, cap_ord, label) = 1),
 near AS (SELECT c.content_id, c.doc_id, c.kind, upper_label, upper_distance, lower_label, lower_distance FROM c LEFT JOIN up USING (content_id) LEFT JOIN lo USING (content_id))"""
 
-_FEATURES = []
-for _r in classify.INDEX_RULES:
-    _hit = f"regexp_matches(text, {_q(_r.regex)})"
-    if _r.inner_min:
-        _in = f"regexp_extract(text, {_q(_r.regex)}, 1)"
-        _hit += f" AND length({_in}) >= {_r.inner_min} AND NOT regexp_matches({_in}, {_q(_r.inner_reject)})"
-    if _r.level:
-        _first = next(x for x in classify.INDEX_RULES if x.feature == _r.feature and x.level < _r.level)
-        _in = f"regexp_extract(text, {_q(_first.regex)}, 1)"
-        _hit += f" AND NOT (regexp_matches(text, {_q(_first.regex)}) AND length({_in}) >= {_first.inner_min} AND NOT regexp_matches({_in}, {_q(_first.inner_reject)}))"
-    _FEATURES.append(f"SELECT doc_id, '{_r.feature}' AS feature, {_r.level} AS level, {_r.no} AS rule, trunc(x0)::INT AS x0 FROM heads WHERE {_hit}")
+# feature, level, rule, condition; a heading counts at the first level of a feature that it matches.
+_BRACKETED = "length(regexp_extract(text, '^[(|【](.+?)[)|】].*$', 1)) >= 2 AND NOT regexp_matches(regexp_extract(text, '^[(|【](.+?)[)|】].*$', 1), '[0-9a-zA-Z]')"
+_CONDITIONS = (
+    ("japanese_legal", 0, 0, _BRACKETED),
+    ("japanese_legal", 1, 1, f"regexp_matches(text, '^第[0-9]*.*条') AND NOT ({_BRACKETED})"),
+    ("english_legal", 0, 0, "regexp_matches(text, '^(Article|ARTICLE)')"),
+    ("english_legal", 0, 1, rf"regexp_matches(text, '^[0-9].*\.{W}')"),
+    ("english_legal", 0, 2, rf"regexp_matches(text, '^[Ⅰ-Ⅹ].*\.{W}')"),
+    ("english_legal", 0, 3, rf"regexp_matches(text, '^[IXV]+\.{W}')"),
+    ("general", 0, 0, rf"regexp_matches(text, '^[0-9]+[.\-\s　].*{W}')"),
+    ("general", 0, 1, rf"regexp_matches(text, '^[Ⅰ-Ⅹ]+[.\-\s　].*{W}')"),
+    ("general", 0, 2, rf"regexp_matches(text, '^[IXV]+[.\-\s　].*{W}')"),
+)
+_FEATURES = [f"SELECT doc_id, '{f}' AS feature, {level} AS level, {no} AS rule, trunc(x0)::INT AS x0 FROM heads WHERE {hit}" for f, level, no, hit in _CONDITIONS]
+_CAPTION_RULES = {"japanese_legal": "契約書|同意書", "english_legal": "Contract|CONTRACT|Agreement|AGREEMENT", "general": "^.*"}
 _HITS = f"""{_BASE},
-heads AS (SELECT * FROM body WHERE regexp_matches(path, {_q(T.CAPTION_PATH)})),
+heads AS (SELECT * FROM body WHERE regexp_matches(path, {_q(CAPTION_PATH)})),
 hits AS ({' UNION ALL '.join(_FEATURES)})"""
 _ADOPTED = f"""{_HITS},
 hn AS (SELECT doc_id, feature, level, rule, count(*) AS n FROM hits GROUP BY ALL),
@@ -105,7 +120,7 @@ bounds AS (SELECT doc_id, feature, max(n) AS hi, min(n) AS lo, quantile_cont(n::
 coords AS (SELECT doc_id, feature, string_agg(x0::VARCHAR, ',' ORDER BY x0) AS x0s, sum(n)::BIGINT AS frequency FROM per JOIN bounds USING (doc_id, feature)
   WHERE hi - lo < 5 OR n >= p - 1e-9 GROUP BY doc_id, feature)"""
 _CAPHIST = "caps AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{f}' AS feature FROM ct WHERE regexp_matches(text, {_q(p)})" for f, p in classify.CAPTION_RULES.items()
+    f"SELECT doc_id, '{f}' AS feature FROM ct WHERE regexp_matches(text, {_q(p)})" for f, p in _CAPTION_RULES.items()
 ) + "), caphist AS (SELECT doc_id, feature, count(*) AS n_captions FROM caps GROUP BY ALL)"
 _CT = "ct AS (SELECT doc_id, text FROM heads UNION ALL SELECT doc_id, title FROM (SELECT DISTINCT doc_id, page_id, title FROM o WHERE title IS NOT NULL))"
 _SLIDES = """votes AS (SELECT doc_id, avg(CASE WHEN (abs(width / height - 4.0 / 3.0) < 0.01 OR abs(width / height - 16.0 / 9.0) < 0.01) AND main_font_size > 16 THEN 1.0 ELSE 0.0 END)::DOUBLE AS slide_share
@@ -115,7 +130,7 @@ lab AS (SELECT doc_id, page_id, block_id, sent_no, unnest({_labels('sentence')})
 cl AS (SELECT content_id, doc_id, page_id, ord, kind, path, coalesce(replace(lower({_half('label')}), ' ', ''), '') AS label FROM c),
 unref AS (SELECT cl.* FROM cl WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.doc_id = cl.doc_id AND lab.label = cl.label))"""
 _FLAGS = f"""{_BASE}, l AS (SELECT *, {_lang('text')} AS lg FROM body)"""
-_HEAD = f"regexp_matches(path, {_q(T.HEAD_PATH)}) AND NOT ({_ends('trim(text)', 'lg')})"
+_HEAD = f"regexp_matches(path, {_q(HEAD_PATH)}) AND NOT ({_ends('trim(text)', 'lg')})"
 _LONG = _q(r"^((?:[0-9]+|\([0-9]+\)|[0-9]+\)|[\x{2460}-\x{2469}]|[\x{2160}-\x{2169}]+)[.\-\s](?:.+?\s){2})(.*)$")
 
 SQL = {
@@ -134,8 +149,8 @@ SQL = {
         e AS (SELECT doc_id, page_id, arg_max(path, ord) AS last_path FROM body WHERE NOT regexp_matches(path, 'Figure|Table|Footnote') GROUP BY ALL)
         SELECT doc_id, page_id, coalesce(last_value(last_path IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_ord ROWS UNBOUNDED PRECEDING), '') AS page_break
         FROM p LEFT JOIN e USING (doc_id, page_id)""",
-    "caption_blocks": f"{_BASE} SELECT block_id, path FROM o WHERE regexp_matches(path, {_q(T.CAPTION_PATH)})",
-    "document_title": f"WITH b AS (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL) SELECT doc_id, arg_min(text, ord) AS title FROM b WHERE text <> '' AND regexp_matches(path, {_q(T.TITLE_PATH)}) GROUP BY doc_id",
+    "caption_blocks": f"{_BASE} SELECT block_id, path FROM o WHERE regexp_matches(path, {_q(CAPTION_PATH)})",
+    "document_title": f"WITH b AS (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL) SELECT doc_id, arg_min(text, ord) AS title FROM b WHERE text <> '' AND regexp_matches(path, {_q(TITLE_PATH)}) GROUP BY doc_id",
     "lang_detect": f"SELECT block_id, {_lang('text')} AS lang FROM (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL)",
     "normalize_text": f"WITH n AS ({_NORMAL} (SELECT DISTINCT * FROM blocks WHERE text IS NOT NULL)), m AS (SELECT *, {_lang('t0')} AS l0 FROM n) SELECT block_id, {_spaced('t0', 'l0')} AS text FROM m",
     "length_divide": f"""{_SENTENCES}, k AS (SELECT block_id, t, CASE WHEN lg = 'ja_JP' THEN 300 ELSE 2000 END AS most FROM n3 WHERE t <> ''),
@@ -149,7 +164,7 @@ SQL = {
         SELECT doc_id, first_block, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars, min(page_id) AS first_page, max(page_id) AS last_page FROM i GROUP BY doc_id, first_block""",
     "toc_span": f"""{_BASE},
         has AS (SELECT DISTINCT doc_id FROM o WHERE starts_with(path, '//Document/TOC') OR ({_half('lower(trim(text))')} IN ('目次', 'contents', 'table of contents', 'toc') AND font_size >= main_font_size)),
-        t AS (SELECT *, regexp_matches(path, {_q(T.TOC_PATH)}) AS is_toc FROM g WHERE NOT in_margin AND doc_id IN (SELECT doc_id FROM has)),
+        t AS (SELECT *, regexp_matches(path, {_q(TOC_PATH)}) AS is_toc FROM g WHERE NOT in_margin AND doc_id IN (SELECT doc_id FROM has)),
         seen AS (SELECT *, max(is_toc::INT) OVER (PARTITION BY doc_id ORDER BY page_ord, ord ROWS UNBOUNDED PRECEDING) AS toc FROM t),
         fin AS (SELECT doc_id, min(CASE WHEN NOT is_toc AND toc = 1 THEN page_ord END) AS finish FROM seen GROUP BY doc_id)
         SELECT doc_id, page_id, block_id FROM seen JOIN fin USING (doc_id) WHERE is_toc AND (finish IS NULL OR page_ord <= finish)""",
@@ -161,7 +176,7 @@ SQL = {
     "index_coordinates": f"{_COORDS} SELECT doc_id, feature, x0s, frequency FROM coords",
     "document_feature": f"""{_COORDS}, {_CT}, {_CAPHIST}, {_SLIDES},
         best AS (SELECT * FROM coords JOIN caphist USING (doc_id, feature) WHERE frequency > 1
-          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE feature {' '.join(f"WHEN '{f}' THEN {t[0]}" for f, t in classify.TRAITS.items())} END, frequency DESC) = 1)
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE feature WHEN 'japanese_legal' THEN 10 WHEN 'english_legal' THEN 20 WHEN 'general' THEN 100 END, frequency DESC) = 1)
         SELECT doc_id, CASE WHEN slide_share > 0.8 THEN 'presentation' ELSE coalesce(feature, 'other') END AS feature,
           CASE WHEN slide_share > 0.8 THEN 0 ELSE coalesce(frequency, 0) END::BIGINT AS frequency FROM votes LEFT JOIN best USING (doc_id)""",
     "slide_vote": f"WITH {_SLIDES} SELECT doc_id, slide_share, slide_share > 0.8 AS is_slides FROM votes",
@@ -208,19 +223,8 @@ SQL = {
     "pages_without_sentences": f"{_SENTENCES} SELECT DISTINCT doc_id, page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = p.doc_id AND s.page_id = p.page_id)",
 }
 
-_PLACE = f"CASE WHEN only_headers THEN is_headline ELSE regexp_matches(path, {_q(T.BODY_PATH)}) END"
-_GROUP = "regexp_extract(text, '^[(|【](.+?)[)|】].*$', 1)"
-_RULE = f"""CASE feature || rule
-  WHEN 'japanese_legal0' THEN length({_GROUP}) >= 2 AND NOT regexp_matches({_GROUP}, '[0-9a-zA-Z]')
-  WHEN 'japanese_legal1' THEN regexp_matches(text, '^第[0-9]*.*条')
-  WHEN 'english_legal0' THEN regexp_matches(text, '^(Article|ARTICLE)')
-  WHEN 'english_legal1' THEN regexp_matches(text, '^[0-9].*\\.[\\s\\x{{3000}}\\x{{00A0}}]')
-  WHEN 'english_legal2' THEN regexp_matches(text, '^[\\x{{2160}}-\\x{{2169}}].*\\.[\\s\\x{{3000}}\\x{{00A0}}]')
-  WHEN 'english_legal3' THEN regexp_matches(text, '^[IXV]+\\.[\\s\\x{{3000}}\\x{{00A0}}]')
-  WHEN 'general0' THEN regexp_matches(text, '^[0-9]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
-  WHEN 'general1' THEN regexp_matches(text, '^[\\x{{2160}}-\\x{{2169}}]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
-  WHEN 'general2' THEN regexp_matches(text, '^[IXV]+[.\\-\\s\\x{{3000}}].*[\\s\\x{{3000}}\\x{{00A0}}]')
-  ELSE false END"""
+_PLACE = f"CASE WHEN only_headers THEN is_headline ELSE regexp_matches(path, {_q(BODY_PATH)}) END"
+_RULE = "CASE feature || rule " + " ".join(f"WHEN '{f}{no}' THEN {hit.split(' AND NOT (length')[0]}" for f, _, no, hit in _CONDITIONS) + " ELSE false END"
 _REST = f"CASE WHEN length(trim(text)) > 50 AND regexp_matches(trim(text), {_LONG}) THEN regexp_extract(trim(text), {_LONG}, 2) ELSE '' END"
 
 
