@@ -231,6 +231,10 @@ def bundle_blocks(s, d):
     return bundle_tables(table(s, d, "bundles"))[0].drop("block_id")  # a hash; doc_id and ord say the same
 
 
+def bundle_pages(s, d):
+    return bundle_tables(table(s, d, "bundles"))[1]
+
+
 def bundle_contents(s, d):
     return bundle_tables(table(s, d, "bundles"))[2].drop("label", "meta")  # not known before captions are
 
@@ -248,6 +252,6 @@ QUERIES = {
         slide_vote, label_extract, caption_labels, nearest_caption, label_vote, label_assign, nearest_text, content_geometry,
         table_normalize, contents_by_label, content_urls, label_link, unreferenced_contents, no_reference_pages,
         pages_with_sentences, pages_without_sentences, references, reference_gate, paragraph_exact, sentence_exact, knowledge, table_tsv,
-        bundle_blocks, bundle_contents, bundle_knowledge,
+        bundle_blocks, bundle_pages, bundle_contents, bundle_knowledge,
     )
 }

@@ -67,8 +67,8 @@ titles AS (SELECT bundle_id, arg_min(text, ord) AS title FROM walked WHERE {_TIT
 placed AS (SELECT * FROM walked WHERE page_id >= 1 AND four AND b0 IS NOT NULL AND b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL),
 said AS (SELECT placed.*, titles.title FROM placed LEFT JOIN titles USING (bundle_id) WHERE text IS NOT NULL),
 sizes AS (SELECT bundle_id, page_id, max(width) AS w, max(height) AS h FROM pages_ GROUP BY ALL),
-per AS (SELECT bundle_id, page_id, max(b3) AS my, arg_min(b1, ord) AS fy, min(ord) AS first_ FROM said GROUP BY ALL),
-turned AS (SELECT bundle_id, page_id, row_number() OVER (PARTITION BY bundle_id ORDER BY first_) AS page_ord, coalesce(h, my) AS height, fy > coalesce(h, my) / 2 AS up FROM per LEFT JOIN sizes USING (bundle_id, page_id))"""
+per AS (SELECT bundle_id, page_id, max(b2) AS mx, max(b3) AS my, arg_min(b1, ord) AS fy, min(ord) AS first_ FROM said GROUP BY ALL),
+turned AS (SELECT bundle_id, page_id, row_number() OVER (PARTITION BY bundle_id ORDER BY first_) AS page_ord, coalesce(w, mx) AS width, coalesce(h, my) AS height, fy > coalesce(h, my) / 2 AS up FROM per LEFT JOIN sizes USING (bundle_id, page_id))"""
 _TOP, _BOTTOM = "CASE WHEN up THEN height - b3 ELSE b1 END", "CASE WHEN up THEN height - b1 ELSE b3 END"
 
 SQL = {
@@ -79,6 +79,10 @@ SQL = {
         SELECT kind, schema_path, count(*) AS n_nodes, count(DISTINCT bundle_id) AS n_bundles, count(text) AS n_texts FROM every GROUP BY kind, schema_path""",
     "bundle_blocks": f"""{_BUNDLES} SELECT bundle_id AS doc_id, page_id::INT AS page_id, page_ord::INT AS page_ord, ord::INT AS ord, path, text, coalesce(size, 0.0) AS font_size, b0 AS x0, {_TOP} AS y0, b2 AS x1, {_BOTTOM} AS y1
         FROM said JOIN turned USING (bundle_id, page_id) WHERE NOT (coalesce({_TITLED}, false) AND coalesce(text = title, false))""",
+    "bundle_pages": f"""{_BUNDLES},
+        used AS (SELECT bundle_id, page_id, trunc(coalesce(size, 0.0))::INT AS main_font_size, sum(length(text)) AS n, min(ord) AS o FROM said GROUP BY ALL),
+        fonts AS (SELECT bundle_id, page_id, main_font_size FROM used QUALIFY row_number() OVER (PARTITION BY bundle_id, page_id ORDER BY n DESC, o) = 1)
+        SELECT bundle_id AS doc_id, page_id::INT AS page_id, page_ord::INT AS page_ord, width, height, title, main_font_size FROM turned JOIN fonts USING (bundle_id, page_id) LEFT JOIN titles USING (bundle_id)""",
     "bundle_contents": f"""{_BUNDLES},
         owned AS (SELECT placed.*, turned.up, turned.height, files.node_pos AS file_pos, file_path FROM placed JOIN turned USING (bundle_id, page_id) JOIN files ON files.bundle_id = placed.bundle_id AND files.parent_pos = placed.node_pos WHERE placed.text IS NULL),
         k AS (SELECT *, CASE WHEN regexp_matches(path, '^//Document/(.*)?Figure') THEN 'IMAGE' WHEN regexp_matches(path, '^//Document/(.*)?Table') AND ends_with(file_path, 'xlsx') THEN 'TABLE' END AS kind FROM owned)

@@ -71,3 +71,29 @@ def bundle_tables(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.array().cast("array<string>").alias("meta"),
     )
     return blocks, pages.drop("fy"), contents
+
+
+def archive_bundles(bundles: DataFrame, folder: str) -> None:
+    """Keep each document's last delivered payload as ``contents/documents/<doc_id>-structuredData.json`` under a shared folder.
+
+    Files have fixed names and contents, so a task that runs again writes the same ones. Null payloads have no file.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        target = f"{root.rstrip('/')}/contents/documents"
+        system.create_dir(target, recursive=True)
+        for b in batches:
+            for doc, payload in zip(*(c.to_pylist() for c in b.columns)):
+                with system.open_output_stream(f"{target}/{doc}-structuredData.json") as out:
+                    out.write(payload.encode("utf-8", "surrogatepass"))
+            yield b.select(["doc_id"])
+
+    when = F.col("received_at") if "received_at" in bundles.columns else F.lit(0)
+    last = F.max_by("payload", F.struct(when.alias("at"), "bundle_id"))
+    kept = bundles.where("payload is not null and doc_id is not null").groupBy("doc_id").agg(last.alias("payload"))
+    kept.mapInArrow(save, "doc_id long").write.format("noop").mode("overwrite").save()

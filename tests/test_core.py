@@ -350,6 +350,17 @@ def test_title_counts_for_origin_and_pages_come_in_their_order(spark):
     assert {r.text: (r.page_ord, r.y0) for r in b.collect()} == {"Low text.": (1, 672.0), "First page.": (2, 50.0)}
 
 
+def test_archive_of_bundles(spark, tmp_path):
+    from pagewright.sources.bundles import archive_bundles
+
+    rows = [(1, 7, "2024-01-01", '{"a": 1}'), (2, 7, "2024-02-01", '{"a": "é"}'), (3, 8, "2024-01-01", None), (4, 9, None, "no json")]
+    df = spark.createDataFrame(rows, "bundle_id long, doc_id long, received_at string, payload string")
+    for _ in range(2):
+        archive_bundles(df.unionByName(df), str(tmp_path))
+    got = {f.name: f.read_text(encoding="utf-8") for f in (tmp_path / "contents/documents").iterdir()}
+    assert got == {"7-structuredData.json": '{"a": "é"}', "9-structuredData.json": "no json"}
+
+
 def test_null_places_keep_their_rows(spark):
     b = blocks(spark, ["One two.", "Three four.", "Five."]).withColumn("page_ord", F.when(F.col("block_id") > 0, F.col("page_ord")))
     o = layout.oriented(b, pages(spark))
