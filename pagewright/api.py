@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.kernels import has_label, labels_of
 from pagewright.operators.knowledge import knowledge
-from pagewright.sources.bundles import bundle_tables
+from pagewright.plans.session import materialise
+from pagewright.sources.bundles import bundle_tables, read_bundles
+from pagewright.sources.files import of_contents, read_images, read_xlsx
 
-__all__ = ["analyze", "analyze_bundles", "existLabel", "getLabels"]
+__all__ = ["analyze", "analyze_bundles", "analyze_folder", "existLabel", "getLabels"]
 
 
 def analyze(
@@ -30,6 +32,17 @@ def analyze_bundles(
     return knowledge(*bundle_tables(bundles), base_url, deep, cells, images, every_caption=True, files=named)
 
 
+def analyze_folder(spark: SparkSession, path: str, base_url: str = "http://contents.example", deep: bool = False) -> DataFrame:
+    """Knowledge records of a folder of extracted bundles: each a structuredData.json with its figures and spreadsheets
+    beside it. Images of one colour and tables that are empty or of one row are left out."""
+    bundles = materialise(read_bundles(spark, path))
+    blocks, pages, contents = bundle_tables(bundles)
+    cells = of_contents(read_xlsx(spark, path, whole_path=True).withColumnRenamed("content_id", "path"), contents, bundles)
+    images = of_contents(read_images(spark, path).select("path", "one_colour"), contents, bundles)
+    files = bundles.select(F.col("bundle_id").alias("doc_id"), "filename")
+    return knowledge(blocks, pages, contents, base_url, deep, cells, images, every_caption=True, files=files)
+
+
 def getLabels(text: str | None, isCaption: bool = False) -> list[str]:  # noqa: N802, N803
     return labels_of(text, isCaption)
 

@@ -53,14 +53,15 @@ def sheet_cells(data: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all xlsx files of a folder in long form, without a header; content_id is the file's name without its end."""
+def read_xlsx(spark: SparkSession, path: str, whole_path: bool = False) -> DataFrame:
+    """Cells of all xlsx files of a folder in long form, without a header; content_id is the file's name without its end,
+    or its whole path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True).load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf.path, pdf.content):
-                name = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                name = p if whole_path else p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 # Gaps within the table's extent are null, as merged cells leave them; they are made a piece at a time.
                 by = {(r, c): v for r, c, v in sheet_cells(bytes(data))}
                 grid = product(range(max((r for r, _ in by), default=-1) + 1), range(max((c for _, c in by), default=-1) + 1))
@@ -70,6 +71,18 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def of_contents(files: DataFrame, contents: DataFrame, bundles: DataFrame, path: str = "path") -> DataFrame:
+    """files (path, ...) with the content_id of the content that each file is, instead of its path.
+
+    The path of a content is relative to the folder of its bundle's file (bundles: bundle_id, filename).
+    """
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
+    folder = bundles.select(F.col("bundle_id").alias("doc_id"), F.regexp_replace("filename", "[^/]*$", "").alias("folder"))
+    place = contents.select("doc_id", "content_id", F.col("path").alias("file")).join(folder, "doc_id")
+    place = place.select("content_id", plain(F.concat("folder", "file")).alias("_file")).dropDuplicates()
+    return files.withColumn("_file", F.regexp_replace(path, "^[a-z]+:/*", "/")).drop(path).join(place, "_file").drop("_file")
+
+
 def tables_as_tsv(cells: DataFrame) -> DataFrame:
     """(content_id, value): normalised tables as tab-separated text without header."""
     rows = normal_cells(cells).groupBy("content_id", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", F.coalesce("value", F.lit("")).alias("v")))).alias("x"))

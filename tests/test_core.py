@@ -209,19 +209,51 @@ def test_xlsx(spark, tmp_path):
     assert got == {("t1", 0, 0): "head", ("t1", 0, 1): None, ("t1", 0, 2): "2.5", ("t1", 1, 0): None, ("t1", 1, 1): "z", ("t1", 1, 2): None}
 
 
-def test_images(spark, tmp_path):
+def png(folder, name, pixels):
     import struct
     import zlib
 
-    def png(name, pixels):
-        h, w = len(pixels), len(pixels[0])
-        raw = b"".join(b"\0" + bytes(c for px in row for c in px) for row in pixels)
-        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
-        head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
-        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    h, w = len(pixels), len(pixels[0])
+    raw = b"".join(b"\0" + bytes(c for px in row for c in px) for row in pixels)
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    (folder / name).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def xlsx(file, rows):
+    cells = "".join(f'<row r="{r}">' + "".join(f'<c r="{"ABC"[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+    with zipfile.ZipFile(file, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="m"><sheetData>{cells}</sheetData></worksheet>')
+
+
+def test_folder_of_bundles_with_their_files(spark, tmp_path):
+    import json
+
+    el = lambda path, text, y: {"Page": 0, "Bounds": [72, y, 500, y + 20], "Path": path, "Text": text, "TextSize": 12}
+    at = lambda path, y, *names: {"Page": 0, "Bounds": [72, y, 200, y + 60], "Path": path, "filePaths": list(names)}
+    for name in ("one two", "other"):
+        folder = tmp_path / name
+        (folder / "figures").mkdir(parents=True)
+        (folder / "tables").mkdir()
+        elements = [
+            el("//Document/P", "See fig. 1, fig. 2, table 3 and table 4.", 100), at("//Document/Figure", 200, "figures/a.png"), el("//Document/P", "Fig. 1 A.", 265),
+            at("//Document/Figure[2]", 320, "figures/b.png"), el("//Document/P", "Fig. 2 B.", 385), at("//Document/Table", 440, "tables/t.xlsx"), el("//Document/P", "Table 3 T.", 505),
+            at("//Document/Table[2]", 560, "tables/u.xlsx"), el("//Document/P", "Table 4 U.", 625),
+        ]
+        (folder / "structuredData.json").write_text(json.dumps({"pages": [{"page_number": 0, "width": 612, "height": 792}], "elements": elements}))
+        varied = [[(k * 40, 255 - k * 40, k * 9) for k in range(4)]] * 4
+        png(folder / "figures", "a.png", varied)
+        png(folder / "figures", "b.png", [[(9, 9, 9)] * 4] * 4 if name == "other" else varied)
+        xlsx(folder / "tables/t.xlsx", [["a", "b"], ["c", "d"]])
+        xlsx(folder / "tables/u.xlsx", [["alone"]])
+    k = [r for r in api.analyze_folder(spark, str(tmp_path)).collect() if r.sentence.startswith("See")]
+    got = {r.document.filename.split("/")[-2]: ({i.surface for i in r.images}, {t.surface for t in r.tables}) for r in k}
+    assert got == {"one%20two": ({"fig.1", "fig.2"}, {"table3"}), "other": ({"fig.1"}, {"table3"})}
 
-    png("flat.png", [[(9, 9, 9)] * 4] * 4)
-    png("varied.png", [[(k * 40, 255 - k * 40, k * 9) for k in range(4)]] * 4)
+
+def test_images(spark, tmp_path):
+    png(tmp_path, "flat.png", [[(9, 9, 9)] * 4] * 4)
+    png(tmp_path, "varied.png", [[(k * 40, 255 - k * 40, k * 9) for k in range(4)]] * 4)
     got = {r.path.rsplit("/", 1)[-1]: r.one_colour for r in files.read_images(spark, str(tmp_path)).collect()}
     assert got == {"flat.png": True, "varied.png": False}
 
