@@ -70,7 +70,7 @@ def knowledge(
     ``contents.selected``; with every_caption each text with a label is one. page_break_stop: see ``stopped_at_breaks``.
     """
     o = materialise(layout.oriented(blocks, pages))
-    toc = structure.toc_blocks(o)
+    toc = materialise(structure.toc_blocks(o))
     refs = materialise(references.references(o))
     gone = toc.select("block_id").unionByName(refs.where("block_id is not null").select("block_id")).dropDuplicates()
     text = o.join(gone, "block_id", "left_anti")
@@ -87,7 +87,7 @@ def knowledge(
     once = Window.partitionBy(*key, "url").orderBy("ord", "content_id")
     hit = hit.withColumn("n", F.row_number().over(once)).where("n = 1").withColumn("item", _items(c, base_url, F.col("label"), False))
     per = hit.groupBy(*key).agg(*_both("item"))
-    context = page_context(o, refs, toc)
+    context = materialise(page_context(o, refs, toc))
     page = F.struct(F.col("page_id").alias("page_no"), "references", "toc", "headlines", "title")
     rows = s.join(per, key, "left").join(context, ["doc_id", "page_id"], "left")
     rows = rows.select(*key, "page_id", "sentence", "lang", "images", "tables", page.alias("page"))
