@@ -37,8 +37,12 @@ def page_origins(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def oriented(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Blocks with their page's values and y counted from the top (top, bottom)."""
-    b, p = distinct_blocks(blocks), distinct_pages(pages)
+    """Blocks with their page's values and y counted from the top (top, bottom).
+
+    Repeated rows share their page too, so one exchange by page serves their removal, the page's first block and the join.
+    """
+    b = blocks.select(*BLOCK_COLUMNS).where("text is not null").repartition("doc_id", "page_id").dropDuplicates(["doc_id", "page_id", "block_id"])
+    p = distinct_pages(pages)
     first = b.groupBy("doc_id", "page_id").agg(F.min_by("y0", "ord").alias("first_y"))
     info = p.join(first, ["doc_id", "page_id"]).select(
         "doc_id", "page_id", "height", "width", "main_font_size", "title",

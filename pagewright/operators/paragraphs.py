@@ -215,7 +215,7 @@ def _streamed(marked: DataFrame, rows_of, schema: str) -> DataFrame:
             take(a.finish())
         yield out()
 
-    fed = sections(materialise(marked)).select(*_FED)
+    fed = sections(materialise(marked.drop("marked", "path"))).select(*_FED)
     fed = fed.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "page_ord", "ord")
     return fed.mapInArrow(run, schema)
 
